@@ -1,16 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 One bigram model for toxic and one for ordinary text, both interpolated over class unigrams and those over shared
-continuation counts (in how many different contexts a word was seen, in either class). Absolute discounts take all
-mass from expressions seen once or twice in a class, so rare expressions are left to the shared counts and speak for
-neither class. A text is judged by the difference of its log-likelihoods per token; a logistic curve, fitted on
-sampled rows that the counts have not seen, turns that difference into a score between 0 and 1.
+continuation counts (in how many different contexts a word was seen, in either class). An expression has mass of its
+own in a class only if more of the class's documents hold it than its share by Z standard deviations; the absolute
+discount takes all of the others' mass, so rare and evenly spread expressions are left to counts that both classes
+share and speak for neither. On the way there a word backs off to its stem, its first bytes, where that stands out. A text is judged by the difference of its log-likelihoods per token; a logistic curve, fitted on
+sampled rows that the counts have not seen, weighs that difference with the text's length into a score from 0 to 1.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,9 +25,9 @@ from sievework.llm.labelled import labelled_sample, remainder
 
 #: Sampled training rows of each class at most; the model's size is bounded by them.
 PER_CLASS = 4000
-#: Taken from a count of 1, of 2, and of 3 or more.
-DISCOUNTS = (1.0, 1.5, 2.0)
-MIN_COUNT = 2
+#: Taken from the counts of expressions that a class holds for itself.
+DISCOUNT, Z, MIN_COUNT = 0.75, 4.5, 2
+STEMS = (10, 9, 8, 7, 6, 5, 4)
 STRIP = b".,;:!?\"'()[]{}%*&$|<>-"
 
 
@@ -34,11 +36,32 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in (x.strip(STRIP) for x in text.translate(FOLD).split()) if w]
 
 
+class Vocabulary(dict):
+    """word -> index; a word that it lacks has that of its longest stem that stands out, else 0."""
+
+    stems: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        for n in STEMS:
+            if len(word) > n and (i := self.stems.get(word[:n])):
+                return i
+        return 0
+
+    def __reduce__(self):
+        return _vocabulary, (dict(self), self.stems)
+
+
+def _vocabulary(words: dict, stems: dict) -> Vocabulary:
+    v = Vocabulary(words)
+    v.stems = stems
+    return v
+
+
 @dataclass
 class Model:
-    """vocab: word -> index, 0 standing for all others. Columns of each array: ordinary, toxic."""
+    """Columns of each array: ordinary, toxic."""
 
-    vocab: dict[bytes, int]
+    vocab: Vocabulary
     unigram: np.ndarray
     backoff: np.ndarray
     pairs: np.ndarray
@@ -46,11 +69,10 @@ class Model:
     curve: np.ndarray
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: difference of log-likelihoods per token, that times the root of the length, and 1."""
+        """For each text: difference of log-likelihoods per token, that times the root of the length and the length, and 1."""
         docs = [tokens(t) for t in texts]
         sizes = np.array([len(d) for d in docs], np.int64)
-        get = self.vocab.get
-        w = np.fromiter((get(x, 0) for d in docs for x in d), np.int64, int(sizes.sum()))
+        w = np.fromiter(map(self.vocab.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
         ends = np.cumsum(sizes)
         starts = ends - sizes
         v = np.r_[0, w[:-1]] if len(w) else w
@@ -65,16 +87,25 @@ class Model:
         gap = np.log(p[:, 1]) - np.log(p[:, 0])
         total = np.r_[0.0, np.cumsum(gap)]
         mean = (total[ends] - total[starts]) / np.maximum(sizes, 1)
-        return np.column_stack([mean, mean * np.sqrt(sizes), np.ones(len(docs))])
+        return np.column_stack([np.clip(mean, -1, 1), np.clip(mean * np.sqrt(sizes), -10, 10), np.clip(mean * sizes, -20, 20), np.ones(len(docs))])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.curve, -30, 30)))
 
 
-def discounted(n: np.ndarray) -> np.ndarray:
-    """What is left of counts: their discount depends on 1, 2, 3 or more."""
-    d = np.select([n >= 3, n == 2, n == 1], [DISCOUNTS[2], DISCOUNTS[1], DISCOUNTS[0]], 0.0)
-    return np.maximum(n - d, 0)
+def stands_out(held: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """held (expressions, classes): documents that hold an expression; docs (classes): documents."""
+    expected = held.sum(1, keepdims=True) * (docs / docs.sum())
+    return ((held - expected) / np.sqrt(expected + 1) >= Z).any(1)
+
+
+def counted(index: dict, uses: list[Counter]) -> np.ndarray:
+    out = np.zeros((len(index), 2))
+    for c in (0, 1):
+        for x, k in uses[c].items():
+            if (i := index.get(x)) is not None:
+                out[i, c] += k
+    return out
 
 
 def train(texts: list[bytes], y: list[int]) -> Model:
@@ -82,41 +113,52 @@ def train(texts: list[bytes], y: list[int]) -> Model:
     rng = np.random.default_rng(7)
     y_, hold = np.array(y, int), np.zeros(len(y), bool)
     hold[rng.permutation(len(y))[: len(y) // 4]] = True
-    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    use, held, pair_use, pair_held, stem_use, stem_held = ([Counter(), Counter()] for _ in range(6))
+    contexts: Counter = Counter()
     for t, c in ((t, c) for t, c, h in zip(texts, y_, hold) if not h):
         words = tokens(t)
-        uni[c].update(words)
-        bi[c].update(zip(words, words[1:]))
-    both = uni[0] + uni[1]
-    known = sorted(w for w, n in both.items() if n >= MIN_COUNT)
-    vocab = {w: i + 1 for i, w in enumerate(known)}
-    size = len(vocab) + 1
-    contexts = Counter(w for _, w in set(bi[0]) | set(bi[1]))
-    shared = np.array([0.0, *(contexts.get(w, 0) for w in known)])
-    shared[0] = sum(n for w, n in contexts.items() if w not in vocab)
-    shared = (shared + 1) / (shared.sum() + size)
-    n = np.zeros((size, 2))
-    for c in (0, 1):
-        for w, k in uni[c].items():
-            n[vocab.get(w, 0), c] += k
-    unigram, backoff = np.zeros((size, 2)), np.ones((size, 2))
-    left = discounted(n)
-    left[0] = 0  # all other words are one word that either class leaves to the shared counts
-    for c in (0, 1):
-        total = max(n[:, c].sum(), 1)
-        unigram[:, c] = left[:, c] / total + (1 - left[:, c].sum() / total) * shared
-    grams: dict[int, list[float]] = {}
-    for c in (0, 1):
-        for (a, b), k in bi[c].items():
-            if k >= 2 and a in vocab and b in vocab:
-                grams.setdefault(vocab[a] * size + vocab[b], [0.0, 0.0])[c] = k
-    pairs = np.array(sorted(grams), np.int64)
-    counts = np.array([grams[k] for k in pairs.tolist()]).reshape(-1, 2)
-    mass = discounted(counts) / np.maximum(n[pairs // size], 1) if len(pairs) else counts
+        once, pairs = Counter(words), Counter(zip(words, words[1:]))
+        stems: Counter = Counter()
+        for w, k in once.items():
+            for n in STEMS:
+                if len(w) > n:
+                    stems[w[:n]] += k
+        for into, seen, what in ((use, held, once), (pair_use, pair_held, pairs), (stem_use, stem_held, stems)):
+            into[c].update(what)
+            seen[c].update(what.keys())
+        contexts.update(w for _, w in pairs)
+    docs = np.maximum(np.bincount(y_[~hold], minlength=2), 1)
+    total = np.array([max(sum(u.values()), 1) for u in use], float)
+    known = {w: i for i, w in enumerate(sorted(w for w, k in (use[0] + use[1]).items() if k >= MIN_COUNT))}
+    n, d = counted(known, use), counted(known, held)
+    often = {w: i for i, w in enumerate(sorted(w for w, k in (stem_held[0] + stem_held[1]).items() if k > Z))}
+    sn, sd = counted(often, stem_use), counted(often, stem_held)
+    out, sout = stands_out(d, docs), stands_out(sd, docs)
+    shared = np.array([contexts.get(w, 0) + 1.0 for w in known]) / (sum(contexts.values()) + len(known) + 1)
+
+    def mass(n: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Discounted share of each class, over a base that both share."""
+        return np.maximum(n - DISCOUNT, 0) / total + base[:, None]
+
+    # 0 is for words that are unknown; stems that stand out follow the words
+    words = np.where(out[:, None], mass(n, 0.05 * n.sum(1) / total.sum() + 0.1 * shared), 0.9 * (n.sum(1, keepdims=True) / total.sum()) + 0.1 * shared[:, None])
+    stem = mass(sn[sout], 0.05 * sn[sout].sum(1) / total.sum() + 1e-9)
+    stems = {w: 1 + len(known) + k for k, w in enumerate(w for w, o in zip(often, sout) if o)}
+    vocab = _vocabulary({w: i + 1 for w, i in known.items()}, stems)
+    unigram = np.vstack([np.full((1, 2), 1 / (total.sum() + 1)), words, stem])
+    for w, i in known.items():
+        if not out[i] and (k := vocab.__missing__(w)):
+            unigram[i + 1] *= unigram[k] / unigram[k].mean()
+    size, backoff = len(unigram), np.ones((len(unigram), 2))
+    both = {p: i for i, p in enumerate(sorted(p for p, k in (pair_held[0] + pair_held[1]).items() if k > Z and p[0] in known and p[1] in known))}
+    pn, pd_ = counted(both, pair_use), counted(both, pair_held)
+    pout = stands_out(pd_, docs) if len(both) else np.zeros(0, bool)
+    code = np.array([vocab[a] * size + vocab[b] for a, b in both], np.int64)[pout]
+    share = np.maximum(pn[pout] - DISCOUNT, 0) / np.maximum(n[code // size - 1], 1)
     for c in (0, 1):
-        backoff[:, c] -= np.minimum(np.bincount(pairs // size, mass[:, c], size), 1 - 1e-6) if len(pairs) else 0
-    backoff[0] = 1
-    model = Model(vocab, np.maximum(unigram, 1e-12), np.maximum(backoff, 1e-6), pairs, mass, np.array([50.0, 0.0, -1.0]))
+        backoff[:, c] -= np.minimum(np.bincount(code // size, share[:, c], size), 0.9)
+    order = np.argsort(code)
+    model = Model(vocab, unigram, backoff, code[order], share[order], np.array([0.0, 0.0, 0.0, -1.0]))
     if len(set(y_[hold])) == 2:
         model.curve = logistic(model.features([t for t, h in zip(texts, hold) if h]), y_[hold])
     return model
