@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import impact_index, jaccard_tree, mixing, reputation, sharding, toxicity, warc, winnowing
+from sievework.llm import impact_index, jaccard_tree, maxent, mixing, ranking, reputation, sharding, toxicity, warc, winnowing
 from sievework.llm.common import Scratch, table
 
 
@@ -24,6 +24,10 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash").withColumn("contaminated", F.col("n_items") >= 2)
 
 
+def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
@@ -33,6 +37,11 @@ def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ranking.score(docs, ranking.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_tree.ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
     return found.select("doc_id", "n_shingles", "component_id")
