@@ -1,12 +1,74 @@
-"""Corpus pipeline: the operators in the order in which a training corpus passes them."""
+"""Corpus pipeline: toxicity, near duplicates, benchmark passages, source mix, shards, in this order.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's
+docs. All but the last return the columns of documents; the last adds the shard of each row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from sievework.llm import jaccard_tree, mixing, sharding, toxicity, winnowing
+from sievework.llm.common import Scratch, small, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; the model learns from labels.toxic."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (gone); null doc_ids stay."""
+    return docs.join(small(ids, 2_000_000), F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the
+    smallest doc_id stays; of rows that repeat a doc_id, the one whose text comes first."""
+    scratch = Scratch(spark, "near")
+    found = scratch.keep(jaccard_tree.ngram_jaccard_join(docs, n=5, num=8, den=10).select("doc_id", "component_id"), "found")
+    kept = drop_ids(docs, scratch.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if again.limit(1).count() == 0:
+        return kept
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    return kept.withColumn("_first", first).where("_first = 1 or doc_id is null").drop("_first")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of some benchmark item go."""
+    scratch = Scratch(spark, "leaks")
+    found = winnowing.winnow(docs, table(spark, sf_dir, "benchmark"))
+    return drop_ids(docs, scratch.keep(found.where("n_items > 0").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in the order of the curriculum."""
+    return mixing.materialise(docs, mixing.mix(docs))
+
+
+def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their shard: depth, prefix, shard_bytes, part."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("source_mix", mix_sources),
+    ("sharding", shard_documents),
+]
 
-STAGES: list = []
+#: The toxicity model cannot be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs
