@@ -131,7 +131,7 @@ def _tokens(n: int):
             sets = shingle_sets(b.column(2).cast(pa.binary()).to_pylist(), n)
             offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, U)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["set_id", "block", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["set_id", "at", "n", "tokens"])
 
     return run
 
@@ -286,21 +286,29 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     met = scratch.keep(keyed.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("c")).where("lo < hi"), "met")
     many = met.where("c > 2").select(F.col("key").alias("mkey"), "lo")
     star = keyed.join(small(many, 1_000_000), F.col("key") == F.col("mkey")).where("set_id > lo").select("lo", "set_id")
-    blocks = components(met.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(star), scratch)
+    # a set's own first sets meet at the smallest of them: an edge for each set, and few between first sets
+    star = star.distinct().withColumn("m", F.min("lo").over(W.partitionBy("set_id")))
+    star = star.select(F.col("set_id").alias("a"), F.col("m").alias("b")).union(star.select("lo", "m")).distinct()
+    blocks = components(met.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(star), scratch)
     slim = scratch.keep(members.select("doc_id", "n", "class_id"), "slim")
     scratch.drop(met, members)
 
-    wanted = blocks.select(F.col("id"), F.col("label").alias("block"))
-    taken = texts.join(small(wanted, 2_000_000), texts.doc_id == wanted.id).select(F.col("id").alias("set_id"), "block", "text")
-    tokens = scratch.keep(taken.mapInArrow(_tokens(n), "set_id long, block long, n long, tokens array<long>").where("n > 0"), "tokens")
+    sized = blocks.join(slim.where("doc_id = class_id").groupBy("doc_id").agg(F.max("n").alias("n")), F.col("id") == F.col("doc_id"))
+    cells = F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("n") / CELL_TOKENS)).cast("long")
+    sizes = scratch.keep(sized.groupBy("label").agg(cells.alias("cells")).where("cells > 1").withColumnRenamed("label", "b"), "sizes")
+    wanted = blocks.join(small(sizes, 1_000_000), F.col("label") == F.col("b"), "left")
+    wanted = scratch.keep(wanted.select("id", F.col("label").alias("block"), F.coalesce("cells", F.lit(1)).alias("cells")), "wanted")
     joined = lambda df: df.select("block", "cell", "set_id", "comp", "probe", "tokens").repartition("block", "cell").sortWithinPartitions("block", "cell").mapInArrow(_link(num, den), "a long, b long")
 
-    sizes = scratch.keep(tokens.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("n") / CELL_TOKENS)).cast("long").alias("cells")).where("cells > 1").withColumnRenamed("block", "b"), "sizes")
-    dealt = tokens.join(small(sizes, 100_000), F.col("block") == F.col("b"), "left").select("block", F.coalesce("cells", F.lit(1)).alias("cells"), "set_id", "n", "tokens")
-    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("set_id"), "cells"))
+    def taken(some: DataFrame) -> DataFrame:
+        found = texts.join(small(some, 2_000_000), texts.doc_id == some.id).select("id", F.struct("block", "cells").alias("at"), "text")
+        found = found.mapInArrow(_tokens(n), "set_id long, at struct<block:long,cells:long>, n long, tokens array<long>").where("n > 0")
+        return found.select("at.block", "at.cells", "set_id", "tokens").withColumn("cell", F.pmod(F.xxhash64("set_id"), "cells"))
+
+    dealt = taken(wanted)
     edges = scratch.keep(joined(dealt.select("*", F.col("set_id").alias("comp"), F.lit(True).alias("probe"))), "links")
     if sizes.limit(1).count():
-        edges = _across(scratch, edges, dealt.where("cells > 1"), joined, cell)
+        edges = _across(scratch, edges, taken(wanted.where("cells > 1")), joined, cell)
 
     same_id = slim.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     repeated = slim.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("doc_id")
