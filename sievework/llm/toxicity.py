@@ -10,7 +10,6 @@ sampled rows that the counts have not seen, weighs that difference with the text
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -24,7 +23,7 @@ from sievework.llm.common import FOLD, arrow_batches
 from sievework.llm.labelled import labelled_sample, remainder
 
 #: Sampled training rows of each class at most; the model's size is bounded by them.
-PER_CLASS = 4000
+PER_CLASS = 3000
 #: Taken from the counts of expressions that a class holds for itself.
 DISCOUNT, Z, MIN_COUNT = 0.75, 4.5, 2
 STEMS = (10, 9, 8, 7, 6, 5, 4)
@@ -99,66 +98,76 @@ def stands_out(held: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return ((held - expected) / np.sqrt(expected + 1) >= Z).any(1)
 
 
-def counted(index: dict, uses: list[Counter]) -> np.ndarray:
-    out = np.zeros((len(index), 2))
-    for c in (0, 1):
-        for x, k in uses[c].items():
-            if (i := index.get(x)) is not None:
-                out[i, c] += k
-    return out
+def uses(what: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For expressions what (numbers below size) in documents doc: how often each class uses them, and in how many
+    documents."""
+    n = np.bincount(what * 2 + y[doc], minlength=2 * size).reshape(-1, 2)
+    once = np.unique(doc.astype(np.int64) * size + what)
+    held = np.bincount(once % size * 2 + y[once // size], minlength=2 * size).reshape(-1, 2)
+    return n.astype(float), held.astype(float)
+
+
+class Numbered(dict):
+    def __missing__(self, w: bytes) -> int:
+        self[w] = n = len(self)
+        return n
 
 
 def train(texts: list[bytes], y: list[int]) -> Model:
-    """Counts from three quarters of the rows, the curve from the others."""
+    """Counts from three quarters of the rows, the curve from the others. All counts are arrays over numbered words."""
     rng = np.random.default_rng(7)
-    y_, hold = np.array(y, int), np.zeros(len(y), bool)
+    y_, hold = np.array(y, np.int64), np.zeros(len(y), bool)
     hold[rng.permutation(len(y))[: len(y) // 4]] = True
-    use, held, pair_use, pair_held, stem_use, stem_held = ([Counter(), Counter()] for _ in range(6))
-    contexts: Counter = Counter()
-    for t, c in ((t, c) for t, c, h in zip(texts, y_, hold) if not h):
+    numbers, flat, sizes = Numbered(), [], []
+    for t in (t for t, h in zip(texts, hold) if not h):
         words = tokens(t)
-        once, pairs = Counter(words), Counter(zip(words, words[1:]))
-        stems: Counter = Counter()
-        for w, k in once.items():
-            for n in STEMS:
-                if len(w) > n:
-                    stems[w[:n]] += k
-        for into, seen, what in ((use, held, once), (pair_use, pair_held, pairs), (stem_use, stem_held, stems)):
-            into[c].update(what)
-            seen[c].update(what.keys())
-        contexts.update(w for _, w in pairs)
-    docs = np.maximum(np.bincount(y_[~hold], minlength=2), 1)
-    total = np.array([max(sum(u.values()), 1) for u in use], float)
-    known = {w: i for i, w in enumerate(sorted(w for w, k in (use[0] + use[1]).items() if k >= MIN_COUNT))}
-    n, d = counted(known, use), counted(known, held)
-    often = {w: i for i, w in enumerate(sorted(w for w, k in (stem_held[0] + stem_held[1]).items() if k > Z))}
-    sn, sd = counted(often, stem_use), counted(often, stem_held)
-    out, sout = stands_out(d, docs), stands_out(sd, docs)
-    shared = np.array([contexts.get(w, 0) + 1.0 for w in known]) / (sum(contexts.values()) + len(known) + 1)
+        flat.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        sizes.append(len(words))
+    cls, names, size = y_[~hold], list(numbers), len(numbers)
+    w = np.concatenate([*flat, np.zeros(0, np.int64)])
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    docs = np.maximum(np.bincount(cls, minlength=2), 1)
+    n, held = uses(w, doc, cls, size)
+    total = np.maximum(n.sum(0), 1)
+    out = stands_out(held, docs)
+    inner = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
+    first, then = w[inner], w[inner + 1]
+    contexts = np.bincount(np.unique(first * size + then) % max(size, 1), minlength=size) if size else np.zeros(0)
+    shared = (contexts + 1.0) / (contexts.sum() + size + 1)
 
     def mass(n: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Discounted share of each class, over a base that both share."""
         return np.maximum(n - DISCOUNT, 0) / total + base[:, None]
 
+    stems: dict[bytes, np.ndarray] = {}
+    for k in STEMS:  # one length at a time, to hold few of them
+        cut = Numbered()
+        of = np.array([cut[x[:k]] if len(x) > k else -1 for x in names], np.int64) if names else np.zeros(0, np.int64)
+        at = of[w] >= 0
+        sn, sheld = uses(of[w[at]], doc[at], cls, max(len(cut), 1))
+        good = np.flatnonzero((sheld.sum(1) > Z) & stands_out(sheld, docs))
+        heads = list(cut)
+        stems |= dict(zip((heads[i] for i in good), mass(sn[good], 0.05 * sn[good].sum(1) / total.sum() + 1e-9)))
+    known = np.flatnonzero(n.sum(1) >= MIN_COUNT)
+    words = np.where(out[:, None], mass(n, 0.05 * n.sum(1) / total.sum() + 0.1 * shared), 0.9 * (n.sum(1, keepdims=True) / total.sum()) + 0.1 * shared[:, None])[known]
     # 0 is for words that are unknown; stems that stand out follow the words
-    words = np.where(out[:, None], mass(n, 0.05 * n.sum(1) / total.sum() + 0.1 * shared), 0.9 * (n.sum(1, keepdims=True) / total.sum()) + 0.1 * shared[:, None])
-    stem = mass(sn[sout], 0.05 * sn[sout].sum(1) / total.sum() + 1e-9)
-    stems = {w: 1 + len(known) + k for k, w in enumerate(w for w, o in zip(often, sout) if o)}
-    vocab = _vocabulary({w: i + 1 for w, i in known.items()}, stems)
-    unigram = np.vstack([np.full((1, 2), 1 / (total.sum() + 1)), words, stem])
-    for w, i in known.items():
-        if not out[i] and (k := vocab.__missing__(w)):
-            unigram[i + 1] *= unigram[k] / unigram[k].mean()
-    size, backoff = len(unigram), np.ones((len(unigram), 2))
-    both = {p: i for i, p in enumerate(sorted(p for p, k in (pair_held[0] + pair_held[1]).items() if k > Z and p[0] in known and p[1] in known))}
-    pn, pd_ = counted(both, pair_use), counted(both, pair_held)
-    pout = stands_out(pd_, docs) if len(both) else np.zeros(0, bool)
-    code = np.array([vocab[a] * size + vocab[b] for a, b in both], np.int64)[pout]
-    share = np.maximum(pn[pout] - DISCOUNT, 0) / np.maximum(n[code // size - 1], 1)
+    vocab = _vocabulary({names[i]: k + 1 for k, i in enumerate(known)}, {x: 1 + len(known) + k for k, x in enumerate(stems)})
+    unigram = np.vstack([np.full((1, 2), 1 / (total.sum() + 1)), words, *stems.values()])
+    for k, i in enumerate(known):
+        if not out[i] and (j := vocab.__missing__(names[i])):
+            unigram[k + 1] *= unigram[j] / unigram[j].mean()
+    rows, backoff, often = len(unigram), np.ones((len(unigram), 2)), held.sum(1) > Z
+    place = np.zeros(size, np.int64)
+    place[known] = np.arange(1, len(known) + 1)
+    both = often[first] & often[then] & (place[first] > 0) & (place[then] > 0)
+    code, pair = np.unique(place[first[both]] * rows + place[then[both]], return_inverse=True)
+    pn, pheld = uses(pair, doc[inner][both], cls, max(len(code), 1))
+    apart = stands_out(pheld, docs)[: len(code)]
+    code, share = code[apart], np.maximum(pn[: len(apart)][apart] - DISCOUNT, 0)
+    share = share / np.maximum(n[known[code // rows - 1]], 1)
     for c in (0, 1):
-        backoff[:, c] -= np.minimum(np.bincount(code // size, share[:, c], size), 0.9)
-    order = np.argsort(code)
-    model = Model(vocab, unigram, backoff, code[order], share[order], np.array([0.0, 0.0, 0.0, -1.0]))
+        backoff[:, c] -= np.minimum(np.bincount(code // rows, share[:, c], rows), 0.9)
+    model = Model(vocab, unigram, backoff, code, share, np.array([0.0, 0.0, 0.0, -1.0]))
     if len(set(y_[hold])) == 2:
         model.curve = logistic(model.features([t for t, h in zip(texts, hold) if h]), y_[hold])
     return model
