@@ -31,9 +31,9 @@ from sievework.llm.common import FOLD, Scratch, arrow_batches
 from sievework.llm.labelled import remainder
 
 CLASSES, GROUPS, OWN = 256, 16, 192
-FEATURES = 1 << 14
+FEATURES = 1 << 13
 PAIR_AT = 1 + 2 * CLASSES
-STEPS, RATE = 15, 0.5
+STEPS, RATE = 12, 0.5
 #: Strength of the prior that draws weights to 0, for single classes and histories the more so the fewer their tokens.
 PRIOR = 5.0
 #: Words whose counts every task holds; all others are joined.
@@ -225,6 +225,7 @@ def gradients(counts: DataFrame, w: Weights) -> tuple[np.ndarray, np.ndarray, np
 
     out, fit = np.zeros((FEATURES, 2 * GROUPS + 2 * CLASSES), np.float64), 0.0
     got: pd.DataFrame = counts.mapInArrow(run, "row long, data binary").toPandas()
+    shipped.destroy()  # every step sends weights anew
     for row, data in zip(got["row"].tolist(), got["data"]):
         if row < 0:
             fit += np.frombuffer(data, np.float64)[0]
