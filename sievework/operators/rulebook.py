@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sievework.operators.rulebook_more import RULES as MORE
 from sievework.operators.rules import Rule
 
 TS, PY, RS, GO, JV, CPP, GD, CS = ("ts", "js"), ("py",), ("rust",), ("go",), ("java",), ("cpp",), ("gd",), ("cs",)
@@ -69,3 +70,4 @@ RULES = [
     Rule("DOC-03", "P2", "row of bars outside a table", r" \| .* \| ", (), absent=r"\|-{3}", scene="s-build"),
     Rule("DOC-04", "P2", "shouting line", r"^[A-Z!,. ]{20,}$", (), scene="s-build"),
 ]
+RULES += MORE

@@ -156,3 +156,24 @@ def test_globs(spark, glob, path, hit):
     from sievework.functions.text import glob_regex
 
     assert spark.range(1).select(F.lit(path).rlike(glob_regex(glob))).first()[0] is hit
+
+
+def test_syntax_tree_rules(spark):
+    from sievework.operators import python_rules
+
+    bad = "import pickle, os\nSTATE = []\ndef f(a=[]):\n    a.append(1)\n    STATE.append(a)\n    try:\n        pickle.loads(a)\n    except Exception:\n        pass\n    os.system('x')\n    assert a\n    f = open('x')\n    print(password)\n"
+    good = "import pytest\ndef f(a=None):\n    with open('x') as g:\n        return g\n    assert a\n"
+    got = {(r.path, r.rule_id) for r in python_rules.scan_python(files(spark, [("bad", "py", bad), ("good", "py", good), ("broken", "py", "def ("), ("none", "py", None)])).collect()}
+    assert {r for p, r in got if p == "bad"} == {"PY-01", "PY-08", "PY-05", "PY-02", "PY-10", "PY-09", "PY-03", "PY-06"} and not [r for p, r in got if p != "bad"]
+    assert [r.path for r in python_rules.rule_errors(files(spark, [("broken", "py", "def ("), ("ok", "py", "x")])).collect()] == ["broken"]
+
+
+def test_span_rules(spark):
+    from sievework.operators import span_rules
+
+    text = "func _process(d):\n\tprint(1)\n\tprint(2)\nfunc other():\n\tprint(3)\n\ta.connect(b)"
+    ls = corpus.lines(files(spark, [("a", "gd", text), ("b", "gd", text + "\nfunc _exit_tree():\n\ta.disconnect(b)")]), ["path"])
+    sp = spans.indent_spans(ls, ["path"])
+    assert sorted((r.path, r.rule_id, r.line_no) for r in span_rules.scan_spans(ls, sp, ["path"]).collect()) == [("a", "GD107", 2), ("b", "GD107", 2)]
+    assert [(r.path, r.rule_id) for r in span_rules.scan_pairs(ls, sp, ["path"]).collect()] == [("a", "GD15")]
+    assert span_rules.long_spans(sp, ["path"], 2).count() == 4
