@@ -10,6 +10,7 @@ sampled rows that the counts have not seen, weighs that difference with the text
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 from itertools import chain
 
@@ -167,7 +168,14 @@ def train(texts: list[bytes], y: list[int]) -> Model:
     share = share / np.maximum(n[known[code // rows - 1]], 1)
     for c in (0, 1):
         backoff[:, c] -= np.minimum(np.bincount(code // rows, share[:, c], rows), 0.9)
-    model = Model(vocab, unigram, backoff, code, share, np.array([0.0, 0.0, 0.0, -1.0]))
+    # words that speak for neither class need no row of their own
+    apart = (unigram[:, 0] != unigram[:, 1]) | (backoff != 1).any(1)
+    apart[[0, *(code // rows), *(code % rows)]] = True
+    place = np.where(apart, np.cumsum(apart) - 1, 0)
+    vocab = _vocabulary({x: int(place[i]) for x, i in vocab.items()}, {x: int(place[i]) for x, i in vocab.stems.items()})
+    code = place[code // rows] * int(apart.sum()) + place[code % rows]
+    order = np.argsort(code)
+    model = Model(vocab, unigram[apart], backoff[apart], code[order], share[order], np.array([0.0, 0.0, 0.0, -1.0]))
     if len(set(y_[hold])) == 2:
         model.curve = logistic(model.features([t for t, h in zip(texts, hold) if h]), y_[hold])
     return model
@@ -188,14 +196,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, held: int = 2, per_class: int = PER_CLASS) -> Model:
-    """Model from labelled rows outside the held-out fold. Only the bounded sample comes to the driver. With rows of
+    """Model from labelled rows outside the held-out fold. With rows of
     one class, or none, the model knows no words and scores every text alike."""
     sample, counts = labelled_sample(docs, labels, label, mod, held, per_class)
-    got = sample.select("text", "y", "doc_id").toPandas().sort_values(["doc_id", "text"])
-    model = train([t.encode() for t in got["text"]], got["y"].tolist())
-    if counts.get(0) and counts.get(1):  # the sample holds both classes in other shares than the labels do
-        drawn = got["y"].value_counts()
-        model.curve[-1] += np.log(counts[1] / drawn.get(1, 1)) - np.log(counts[0] / drawn.get(0, 1))
+
+    def run(batches):
+        rows = sorted((i, t or b"", y) for b in batches for i, t, y in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()))
+        model = train([t for _, t, _ in rows], [y for *_, y in rows])
+        drawn = [sum(y == c for *_, y in rows) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model, drawn))], pa.binary())], ["model"])
+
+    # the sample is bounded, so one task holds it, and the driver only gets the model
+    got = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").collect()
+    model, drawn = pickle.loads(got[0]["model"]) if got else (train([], []), [0, 0])
+    if counts.get(0) and counts.get(1) and all(drawn):  # the sample holds both classes in other shares than the labels do
+        model.curve[-1] += np.log(counts[1] / drawn[1]) - np.log(counts[0] / drawn[0])
     return model
 
 
