@@ -67,9 +67,13 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """df marked for broadcast if it holds at most max_rows rows; otherwise as it is, for a shuffled join.
-    The check stops counting just beyond the bound."""
+def small(df: DataFrame, max_rows: int, wide: str | None = None) -> DataFrame:
+    """df marked for broadcast if it holds at most max_rows rows; otherwise as it is, for a shuffled join. The check
+    stops counting just beyond the bound. wide names a binary column of no fixed size: then its bytes are summed, and
+    64 of them for each row are allowed."""
+    if wide:
+        n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(wide)), F.lit(0))).first()
+        return F.broadcast(df) if n <= max_rows and size <= 64 * max_rows else df
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 

@@ -2,11 +2,12 @@
 
 A document is the set of hashes of its distinct word n-grams. The upper levels of the tree are keyed and so can be
 dealt out: a size range (band), then one of k hash ranges of the token space with the content that a set has there.
-Sets of a band differ in at most d tokens when they link, so with more than d ranges that hold tokens, some range
-that holds tokens is the same in both: every linking pair meets below some key. Sets that meet make blocks. The lower levels are
-signature trees, one for each cell of bounded size: a node holds the OR of its token bitmaps and its size range, and
-a dual traversal drops node pairs whose greatest possible overlap is below the least that any pair of their sizes
-needs. What is left is compared exactly, token by token.
+Sets of a band differ in at most d tokens when they link, so if more than d of a set's ranges hold enough tokens to
+count, some range that counts is the same in both: every linking pair meets below some key. Below the keys a
+signature is the bitmap of a set's tokens, with its size. A node holds the OR of the bitmaps below and their size
+range, and a dual traversal drops node pairs whose greatest possible overlap is below the least that any pair of
+their sizes needs. Sets that may link after that make blocks, which are small or hold near copies. The lower levels,
+a tree for each cell of a block, go through the same traversal, and what is left is compared token by token.
 
 Blocks larger than a cell are dealt into cells: first each cell is joined with itself, then a few sets of each large
 class, and last the sets outside a block's largest class meet every cell. Pairs inside one class are linked already
@@ -31,6 +32,8 @@ U = np.uint64
 #: Sets and tokens that a cell holds at most (a single longer set has a cell of its own hash).
 CELL, CELL_TOKENS = 512, 1_000_000
 LEAST_NODE = 8
+#: Sets below one key that are compared by signature; larger groups go on as they are.
+GROUP = 2048
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -78,15 +81,35 @@ def band_edges(least: int, num: int, den: int, most: int = 1 << 31) -> np.ndarra
 class Keys:
     """The keys of a set under which it meets every set that it may link with, num/den being the least similarity.
 
-    Of linked sets the smaller, with s tokens, differs from the other in at most s * (den - num) / num tokens. A band
-    takes d from its largest s, and d + m ranges: each difference spoils one range at most, so m are left unspoilt,
-    and one of them holds tokens as soon as more than d ranges of the set hold tokens. m doubles until that is so. A
-    partner that needs a larger m gives the keys of the smaller m as well, so they meet at the smaller of the two."""
+    Of linked sets the smaller, with s tokens, differs from the other in at most s * (den - num) / num tokens; a band
+    takes d from its largest s. Each difference spoils one range at most. So if more than d ranges of either set hold
+    t tokens or more, one of those is the same in both. The first level has the largest t, up to 3, for which a
+    set of the band is likely to have so many ranges; a set that hasn't goes on to levels with t = 1 and more ranges,
+    until it has. A partner that stops later gives the keys of the earlier levels as well, so they meet at the
+    earlier of the two."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         least = -(-num // (den - num))  # smaller sets link with equal ones only
         self.edges = band_edges(least, num, den)
+        self.known: dict[int, list[tuple[int, int, int]]] = {}
+
+    def levels(self, band: int) -> list[tuple[int, int, int]]:
+        """(d, k, t) of each level of a band: differences, ranges, tokens that a range needs to count."""
+        if band in self.known:
+            return self.known[band]
+        d = (int(self.edges[band + 1]) - 1) * (self.den - self.num) // self.num
+        low = int(self.edges[band])
+        first = (d, d + (low + 1) // 2, 1)
+        for t in (1, 2, 3):
+            for k in sorted({int(np.ceil(low / a)) for a in np.arange(1, 8, 0.1)}, reverse=True):
+                a = low / k
+                fewer = float(np.exp(-a) * sum(a**j / float(np.prod(np.arange(1, j + 1))) for j in range(t)))
+                if k * (1 - fewer) - 2.5 * np.sqrt(k * fewer * (1 - fewer)) > d:
+                    first = (d, k, t)  # of the levels that the smallest set will do with, the last: most tokens, fewest ranges
+        more = [(d, (d + (low + 1) // 2) << j, 1) for j in range(40)]
+        self.known[band] = [first, *more]
+        return self.known[band]
 
     def of(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
@@ -98,29 +121,145 @@ class Keys:
             bands.append(own - 1)
         high, mixed, out = s >> U(32), mix(s, 7), []
         for b in bands:
-            d, m = (int(self.edges[b + 1]) - 1) * (self.den - self.num) // self.num, 1
-            while True:
-                k = d + m
+            for d, k, t in self.levels(b):
                 cell = (high * U(k)) >> U(32)
                 first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                out.append(mix(np.add.reduceat(mixed, first) ^ mix(cell[first], b * 1_000_003 + k)))
-                if len(first) > d:
+                good = np.diff(np.r_[first, n]) >= t
+                out.append((mix(np.add.reduceat(mixed, first) ^ mix(cell[first], b * 1_000_003 + k * 7 + t)))[good])
+                if np.count_nonzero(good) > d:
                     break
-                m *= 2
         return np.concatenate(out)
 
 
-def _describe(n: int, num: int, den: int):
+def width_of(n: int) -> int:
+    """Bits of a set's signature: a power of two, at least the tokens and 64, at most 2^16."""
+    return min(1 << 16, max(64, 1 << max(0, n - 1).bit_length()))
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Bitmap of a set's tokens, one bit for each by its lowest hash bits."""
+    flags = np.zeros(width_of(len(s)), np.uint8)
+    flags[(s & U(len(flags) - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A signature as words, its halves laid over each other down to width bits."""
+    w = np.frombuffer(bits, U)
+    while len(w) * 64 > width:
+        w = w[: len(w) // 2] | w[len(w) // 2 :]
+    return w
+
+
+def _describe(n: int):
     def run(batches):
-        keys = Keys(num, den)
         with np.errstate(over="ignore"):
             for b in batches:
                 sets = shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), n)
-                found = [keys.of(s) for s in sets]
                 digest = [[np.add.reduce(mix(s, salt)) if len(s) else U(0) for s in sets] for salt in (11, 12)]
-                offsets = np.r_[0, np.cumsum([len(k) for k in found])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array(d, U).view(np.int64)) for d in digest), pa.array([signature(s) for s in sets], pa.binary())], ["doc_id", "th", "n", "d1", "d2", "bits"])
+
+    return run
+
+
+def _keys(n: int, num: int, den: int):
+    """A row for each set and key."""
+
+    def run(batches):
+        keys = Keys(num, den)
+        with np.errstate(over="ignore"):
+            for b in batches:
+                found = [keys.of(s) for s in shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), n)]
+                ids = np.repeat(b.column(0).to_numpy(), [len(k) for k in found])
                 flat = np.concatenate([*found, np.zeros(0, U)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array(d, U).view(np.int64)) for d in digest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "d1", "d2", "keys"])
+                for lo in range(0, len(flat), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[lo : lo + 200_000]), pa.array(ids[lo : lo + 200_000])], ["key", "set_id"])
+
+    return run
+
+
+def _shared(batches):
+    """Of rows (key, set_id) sorted by key, those whose key has a neighbour with another set. Nothing but the row at a
+    batch's end is held."""
+    last = None  # key, set and whether the row is out already
+    for b in batches:
+        key, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(key):
+            continue
+        if last is not None:
+            key, ids = np.r_[last[0], key], np.r_[last[1], ids]
+        same = (key[1:] == key[:-1]) & (ids[1:] != ids[:-1])
+        keep = np.r_[False, same] | np.r_[same, False]
+        if last is not None and last[2]:
+            keep[0] = False
+        late = bool(keep[-1]) if len(key) > 1 else bool(last is not None and last[2])
+        last = (key[-1], ids[-1], late)
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], ["key", "set_id"])
+
+
+def _may_link(num: int, den: int):
+    """Of rows (key, set_id, n, bits) that come key by key: edges that tie together what may link below a key."""
+
+    def edges(rows: list) -> list[tuple[int, int]]:
+        rows.sort()
+        out, parent = [], list(range(len(rows)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def tie(i: int, j: int) -> None:
+            if (a := find(i)) != (b := find(j)):
+                parent[max(a, b)] = min(a, b)
+                out.append((rows[i][1], rows[j][1]))
+
+        width = min(len(r[2]) for r in rows) * 8
+        if len(rows) > 24:
+            i, j = Tree(np.stack([folded(r[2], width) for r in rows]), np.array([r[0] for r in rows])).pairs(num, den)
+            label = np.arange(len(rows))
+            while True:
+                least = np.minimum(label[i], label[j])
+                new = label.copy()
+                np.minimum.at(new, i, least)
+                np.minimum.at(new, j, least)
+                new = new[new]
+                if (new == label).all():
+                    return [(rows[x][1], rows[k][1]) for k, x in enumerate(label.tolist()) if x != k]
+                label = new
+        bits = [int.from_bytes(folded(r[2], width).tobytes(), "little") for r in rows]
+        for j in range(len(rows)):
+            for i in range(j):
+                if find(i) != find(j):
+                    a, b, x, y = rows[i][0], rows[j][0], bits[i], bits[j]
+                    both = (x & y).bit_count()
+                    most = both + min(a - x.bit_count(), b - y.bit_count())
+                    if min(most, a - (x & ~y).bit_count(), b - (y & ~x).bit_count()) * (num + den) >= num * (a + b):
+                        tie(i, j)
+        return out
+
+    def run(batches):
+        now, rows, hub, out = None, [], None, []
+        for b in batches:
+            for key, i, n, bits in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if key != now:
+                    out += edges(rows) if len(rows) > 1 else []
+                    now, rows, hub = key, [], None
+                if hub is not None:
+                    out.append((hub, i))
+                else:
+                    rows.append((n, i, bits))
+                    if len(rows) > GROUP:  # a larger group stays together; its cells are compared later on
+                        hub = rows[0][1]
+                        out += [(hub, r[1]) for r in rows[1:]]
+                        rows = []
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                    out = []
+        out += edges(rows) if len(rows) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return run
 
@@ -136,19 +275,23 @@ def _tokens(n: int):
     return run
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one width for the sets of a cell, four bits or more for each token of the largest."""
+    width = 256
+    while width < 4 * max(map(len, sets)) and width < 1 << 17:
+        width *= 2
+    bits = np.zeros((len(sets), width // 64), U)
+    for i, s in enumerate(sets):
+        at = s & U(width - 1)
+        np.bitwise_or.at(bits[i], (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    return bits
+
+
 class Tree:
-    """Signature tree over the sets of one cell: levels[0] has a node for each set, each further level one for every
-    LEAST_NODE nodes below. bits: OR of bitmaps; lo, hi: size range; spare: most tokens beyond one for each bit."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets])
-        width = 256
-        while width < 4 * size.max() and width < 1 << 17:
-            width *= 2
-        bits = np.zeros((len(sets), width // 64), U)
-        for i, s in enumerate(sets):
-            at = s & U(width - 1)
-            np.bitwise_or.at(bits[i], (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    """Signature tree: levels[0] has a node for each set, each further level one for every LEAST_NODE nodes below.
+    bits: OR of bitmaps; lo, hi: size range; spare: most tokens beyond one for each bit."""
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray):
         self.levels = [(bits, size, size, size - np.bitwise_count(bits).sum(1, dtype=np.int64))]
         while len(self.levels[-1][1]) > LEAST_NODE:
             bits, lo, hi, spare = self.levels[-1]
@@ -190,7 +333,7 @@ def link_cell(ids: np.ndarray, comp: np.ndarray, probe: np.ndarray, sets: list[n
         return []
     order = np.lexsort(([s[0] for s in sets], [len(s) for s in sets]))
     ids, comp, probe, sets = ids[order], comp[order], probe[order], [sets[k] for k in order]
-    i, j = Tree(sets).pairs(num, den)
+    i, j = Tree(bitmaps(sets), np.array([len(s) for s in sets])).pairs(num, den)
     keep = (comp[i] != comp[j]) & (probe[i] | probe[j])
     i, j = i[keep], j[keep]
     if not len(i):
@@ -273,25 +416,23 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     spark = docs.sparkSession
     arrow_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = scratch.keep(texts.mapInArrow(_describe(n, num, den), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "described")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    described = scratch.keep(texts.select("doc_id", "text", "th").mapInArrow(_describe(n), "doc_id long, th long, n long, d1 long, d2 long, bits binary"), "described")
     full = described.where("n > 0 and doc_id is not null")
     copies = scratch.keep(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("c")).where("c > 1").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), "set_id"), "copies")
     same = (described.d1 == copies.e1) & (described.d2 == copies.e2) & (described.n == copies.en) & described.doc_id.isNotNull()
-    members = described.join(copies, same, "left").select("doc_id", "n", F.coalesce("set_id", "doc_id").alias("class_id"), F.when(F.col("doc_id") == F.coalesce("set_id", "doc_id"), F.col("keys")).alias("keys"))
-    members = scratch.keep(members, "members")
-    scratch.drop(described, copies)
-
-    keyed = members.where("keys is not null").select(F.col("class_id").alias("set_id"), F.explode("keys").alias("key"))
-    met = scratch.keep(keyed.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("c")).where("lo < hi"), "met")
-    many = met.where("c > 2").select(F.col("key").alias("mkey"), "lo")
-    star = keyed.join(small(many, 1_000_000), F.col("key") == F.col("mkey")).where("set_id > lo").select("lo", "set_id")
-    # a set's own first sets meet at the smallest of them: an edge for each set, and few between first sets
-    star = star.distinct().withColumn("m", F.min("lo").over(W.partitionBy("set_id")))
-    star = star.select(F.col("set_id").alias("a"), F.col("m").alias("b")).union(star.select("lo", "m")).distinct()
-    blocks = components(met.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(star), scratch)
-    slim = scratch.keep(members.select("doc_id", "n", "class_id"), "slim")
-    scratch.drop(met, members)
+    slim = scratch.keep(described.join(small(copies, 1_000_000), same, "left").select("doc_id", "th", "n", F.coalesce("set_id", "doc_id").alias("class_id")), "slim")
+    signatures = described.where("n > 0").select(F.col("doc_id").alias("sid"), "n", "bits").dropDuplicates(["sid", "n", "bits"])
+
+    # one shuffle brings a key's sets together; most keys have one set and end here
+    spare = slim.where("doc_id <> class_id").select(F.col("doc_id").alias("x"), F.col("th").alias("xth")).distinct()
+    firsts = texts.where("doc_id is not null").join(small(spare, 1_000_000), (F.col("doc_id") == F.col("x")) & F.col("th").eqNullSafe(F.col("xth")), "left_anti")
+    keyed = firsts.select("doc_id", "text").mapInArrow(_keys(n, num, den), "key long, set_id long").repartition("key").sortWithinPartitions("key", "set_id")
+    met = scratch.keep(keyed.mapInArrow(_shared, "key long, set_id long").distinct(), "met")
+    signed = met.join(small(signatures, 200_000, "bits"), F.col("set_id") == F.col("sid")).select("key", "set_id", "n", "bits")
+    ties = signed.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_may_link(num, den), "a long, b long").distinct()
+    blocks = components(scratch.keep(ties, "ties"), scratch)
+    scratch.drop(described, copies, met)
 
     sized = blocks.join(slim.where("doc_id = class_id").groupBy("doc_id").agg(F.max("n").alias("n")), F.col("id") == F.col("doc_id"))
     cells = F.greatest(F.ceil(F.count("*") / cell), F.ceil(F.sum("n") / CELL_TOKENS)).cast("long")
@@ -301,7 +442,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     joined = lambda df: df.select("block", "cell", "set_id", "comp", "probe", "tokens").repartition("block", "cell").sortWithinPartitions("block", "cell").mapInArrow(_link(num, den), "a long, b long")
 
     def taken(some: DataFrame) -> DataFrame:
-        found = texts.join(small(some, 2_000_000), texts.doc_id == some.id).select("id", F.struct("block", "cells").alias("at"), "text")
+        found = texts.select("doc_id", "text").join(small(some, 2_000_000), F.col("doc_id") == F.col("id")).select("id", F.struct("block", "cells").alias("at"), "text")
         found = found.mapInArrow(_tokens(n), "set_id long, at struct<block:long,cells:long>, n long, tokens array<long>").where("n > 0")
         return found.select("at.block", "at.cells", "set_id", "tokens").withColumn("cell", F.pmod(F.xxhash64("set_id"), "cells"))
 
@@ -345,3 +486,16 @@ def _across(scratch: Scratch, edges: DataFrame, dealt: DataFrame, joined, cell:
     probes = rest.where("comp <> top").select("block", lot.alias("lot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("c"), "set_id", "comp", F.lit(True).alias("probe"), "tokens")
     others = rest.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("cell").alias("c"), "set_id", "comp", F.lit(False).alias("probe"), "tokens")
     return edges.union(joined(probes.union(others).withColumn("cell", F.col("lot") * 1_000_000 + F.col("c"))))
+
+
+#: For three words and 90 of 100, on ids that don't repeat.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT c.doc_id, e.y FROM c JOIN e ON c.r = e.x)
+SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id
+"""

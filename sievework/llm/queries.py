@@ -67,5 +67,7 @@ def llm_oracle_sql() -> dict[str, str]:
         "op2_extendible_sharding": sharding.ORACLE_SQL.format(limit=sharding.LIMIT_BYTES),
         "op3_winnowing": winnowing.ORACLE_SQL,
         "op5_curriculum_mix": mixing.ORACLE_SQL,
+        "op8_jaccard_tree": jaccard_tree.ORACLE_SQL,
+        "op9_warc": warc.ORACLE_SQL,
         "op10_impact_search": impact_index.ORACLE_SQL,
     }
