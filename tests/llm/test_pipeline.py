@@ -45,3 +45,41 @@ def test_awkward_documents(spark):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_filter_stages_match_brute_force(spark):
+    """Near duplicates and benchmark passages against plain Python over the whole small table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    first = {i: i for i in sets}
+
+    def find(x):
+        while first[x] != x:
+            x = first[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                first[max(a, b)] = min(a, b)
+    unique = {i for i in sets if find(i) == i}
+    assert len(unique) < len(sets)
+    kept = cp.drop_near_duplicates(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == unique
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = cut(r.text)
+        windows |= {tuple(w[k : k + min(8, len(w))]) for k in range(max(1, len(w) - 7))} if w else set()
+    sizes = {len(w) for w in windows}
+    clean = {i for i, t in rows if i in unique and not any(tuple(w[k : k + n]) in windows for w in [cut(t)] for n in sizes for k in range(len(w) - n + 1))}
+    assert {r.doc_id for r in cp.drop_contaminated(spark, kept, SF).collect()} == clean and len(clean) < len(unique)
