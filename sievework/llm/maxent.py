@@ -21,7 +21,6 @@ from itertools import chain
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,9 +30,12 @@ from sievework.llm.common import FOLD, Scratch, arrow_batches
 from sievework.llm.labelled import remainder
 
 CLASSES, GROUPS, OWN = 256, 16, 192
-FEATURES = 1 << 13
+FEATURES = 1 << 12
 PAIR_AT = 1 + 2 * CLASSES
-STEPS, RATE = 12, 0.5
+MULTIPLIER = 2654435761
+#: Tasks over the histories, of which there are CLASSES squared at most.
+TASKS = 8
+STEPS, RATE = 10, 0.5
 #: Strength of the prior that draws weights to 0, for single classes and histories the more so the fewer their tokens.
 PRIOR = 5.0
 #: Words whose counts every task holds; all others are joined.
@@ -105,7 +107,7 @@ class Weights:
 def active(history: np.ndarray) -> np.ndarray:
     """Rows of the features of each history: bias, bigram, skip and hashed pair."""
     one, two = history // CLASSES, history % CLASSES
-    pair = PAIR_AT + (history * 2654435761 >> 7) % (FEATURES - PAIR_AT)
+    pair = PAIR_AT + (history * MULTIPLIER >> 7) % (FEATURES - PAIR_AT)
     return np.stack([np.zeros_like(one), 1 + one, 1 + CLASSES + two, pair], 1)
 
 
@@ -184,65 +186,75 @@ def count_histories(train: DataFrame, lex: Lexicon, scratch: Scratch) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(seen[0] // CLASSES), pa.array((seen[0] % CLASSES).astype(np.int32)), pa.array(seen[1])], ["history", "cls", "n"])
 
     rows = train.select("text").mapInArrow(run, "history long, cls int, n long").groupBy("history", "cls").agg(F.sum("n").alias("n"))
-    return scratch.keep(rows.groupBy("history").agg(F.collect_list(F.struct("cls", "n")).alias("next")), "histories")
+    whole = rows.groupBy("history").agg(F.collect_list(F.struct("cls", "n")).alias("next"))
+    # tasks hold different pairs, so that they send few weight rows in common
+    return scratch.keep(whole.repartition(TASKS, F.expr(f"shiftright(history * {MULTIPLIER}, 7) % {FEATURES - PAIR_AT}")), "histories")
 
 
-def gradients(counts: DataFrame, w: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Observed and expected counts of groups and classes for every weight row, and the log-likelihood per token.
-    Tasks send a row for each feature that they touch."""
-    shipped = counts.sparkSession.sparkContext.broadcast(w)
+def _gradients(shipped):
+    """Rows (weight row, observed and expected counts of groups and classes) for each feature that a task touches."""
 
     def run(batches):
-        og, eg = (np.zeros((FEATURES, GROUPS), np.float32) for _ in range(2))
-        oc, ec = (np.zeros((FEATURES, CLASSES), np.float32) for _ in range(2))
-        touched, fit = np.zeros(FEATURES, bool), 0.0
+        # columns: groups observed, groups expected, classes observed, classes expected
+        out = np.zeros((FEATURES, 2 * (GROUPS + CLASSES)), np.float32)
+        touched = np.zeros(FEATURES, bool)
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
-                history = part.column(0).to_numpy()
-                cell = part.column(1)
-                sizes = np.diff(cell.offsets.to_numpy())
-                inner = cell.flatten()
+                history, cell = part.column(0).to_numpy(), part.column(1)
+                sizes, inner = np.diff(cell.offsets.to_numpy()), cell.flatten()
                 n = np.zeros((len(history), CLASSES), np.float32)
                 n[np.repeat(np.arange(len(history)), sizes), inner.field("cls").to_numpy(zero_copy_only=False)] = inner.field("n").to_numpy(zero_copy_only=False)
                 rows = active(history)
-                lp = log_probs(shipped.value, rows)
-                fit += float((lp.astype(float) * n).sum())
-                p = np.exp(lp)
-                seen_g = n.reshape(len(n), GROUPS, -1).sum(2)
-                want_g = p.reshape(len(n), GROUPS, -1).sum(2) * n.sum(1, keepdims=True)
-                inside = (p.reshape(len(n), GROUPS, -1) / np.maximum(p.reshape(len(n), GROUPS, -1).sum(2, keepdims=True), 1e-30) * seen_g[:, :, None]).reshape(len(n), CLASSES)
+                p = np.exp(log_probs(shipped.value, rows)).reshape(len(n), GROUPS, -1)
+                groups = p.sum(2)
+                seen = n.reshape(p.shape).sum(2)
+                inside = p / np.maximum(groups[:, :, None], 1e-30) * seen[:, :, None]
+                x = np.concatenate([seen, groups * n.sum(1, keepdims=True), n, inside.reshape(len(n), CLASSES)], 1)
                 for k in range(rows.shape[1]):
                     at, where = np.unique(rows[:, k], return_inverse=True)
                     by = np.argsort(where, kind="stable")
-                    cut = np.searchsorted(where[by], np.arange(len(at)))
-                    for into, x in ((og, seen_g), (eg, want_g), (oc, n), (ec, inside)):
-                        into[at] += np.add.reduceat(x[by], cut, axis=0)
+                    out[at] += np.add.reduceat(x[by], np.searchsorted(where[by], np.arange(len(at))), axis=0)
                     touched[at] = True
         at = np.flatnonzero(touched)
-        data = [r.tobytes() for r in np.concatenate([og[at], eg[at], oc[at], ec[at]], 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int64)), pa.array([*data, np.array([fit]).tobytes()], pa.binary())], ["row", "data"])
+        for lo in range(0, len(at), 1000):
+            some = at[lo : lo + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in out[some]], pa.binary())], ["row", "data"])
 
-    out, fit = np.zeros((FEATURES, 2 * GROUPS + 2 * CLASSES), np.float64), 0.0
-    got: pd.DataFrame = counts.mapInArrow(run, "row long, data binary").toPandas()
-    shipped.destroy()  # every step sends weights anew
-    for row, data in zip(got["row"].tolist(), got["data"]):
-        if row < 0:
-            fit += np.frombuffer(data, np.float64)[0]
-        else:
-            out[row] += np.frombuffer(data, np.float32)
-    og, eg, oc, ec = np.split(out, [GROUPS, 2 * GROUPS, 2 * GROUPS + CLASSES], 1)
-    return og, eg, oc, ec, fit
+    return run
+
+
+def _step(shipped):
+    """One step along the summed gradient, each weight's step scaled by the counts behind it; gives the new weights."""
+
+    def run(batches):
+        out = np.zeros((FEATURES, 2 * (GROUPS + CLASSES)), np.float32)
+        for b in batches:
+            for row, data in zip(b.column(0).to_pylist(), b.column(1)):
+                out[row] += np.frombuffer(data.as_buffer(), np.float32)
+        og, eg, oc, ec = np.split(out, [GROUPS, 2 * GROUPS, 2 * GROUPS + CLASSES], 1)
+        w = shipped.value
+        group, cls = w.group, w.cls.reshape(FEATURES, CLASSES)
+        group = group + RATE * (og - eg - PRIOR * group) / (np.maximum(og, eg) + PRIOR)
+        cls = cls + RATE * (oc - ec - PRIOR * cls) / (np.maximum(oc, ec) + PRIOR)
+        whole = np.concatenate([group, cls], 1).astype(np.float32)
+        at = list(range(0, FEATURES, 128))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([whole[i : i + 128].tobytes() for i in at], pa.binary())], ["at", "data"])
+
+    return run
 
 
 def train_weights(counts: DataFrame, steps: int = STEPS) -> Weights:
-    """Steps along the gradient, each weight's step scaled by the counts behind it."""
+    """Tasks send the gradients of the rows that they touch, one task sums them and takes the step. What it sums and
+    what comes back is bounded by TASKS and FEATURES."""
     w = Weights()
     for _ in range(steps):
-        og, eg, oc, ec, _ = gradients(counts, w)
-        cls = w.cls.reshape(FEATURES, CLASSES)
-        w.group += (RATE * (og - eg - PRIOR * w.group) / (np.maximum(og, eg) + PRIOR)).astype(np.float32)
-        cls += (RATE * (oc - ec - PRIOR * cls) / (np.maximum(oc, ec) + PRIOR)).astype(np.float32)
+        shipped = counts.sparkSession.sparkContext.broadcast(w)
+        sent = counts.coalesce(TASKS).mapInArrow(_gradients(shipped), "row long, data binary")
+        got = sorted((r["at"], bytes(r["data"])) for r in sent.repartition(1).mapInArrow(_step(shipped), "at long, data binary").collect())
+        whole = np.frombuffer(b"".join(data for _, data in got), np.float32).reshape(FEATURES, GROUPS + CLASSES)
+        w = Weights(whole[:, :GROUPS].copy(), whole[:, GROUPS:].reshape(FEATURES, GROUPS, -1).copy())
+        shipped.destroy()  # every step sends weights anew
     return w
 
 
