@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids (gone); null doc_ids stay."""
-    return docs.join(small(ids, 2_000_000), F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(small(ids, 1_000_000), F.col("doc_id") == F.col("gone"), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -442,7 +442,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     joined = lambda df: df.select("block", "cell", "set_id", "comp", "probe", "tokens").repartition("block", "cell").sortWithinPartitions("block", "cell").mapInArrow(_link(num, den), "a long, b long")
 
     def taken(some: DataFrame) -> DataFrame:
-        found = texts.select("doc_id", "text").join(small(some, 2_000_000), F.col("doc_id") == F.col("id")).select("id", F.struct("block", "cells").alias("at"), "text")
+        found = texts.select("doc_id", "text").join(small(some, 1_000_000), F.col("doc_id") == F.col("id")).select("id", F.struct("block", "cells").alias("at"), "text")
         found = found.mapInArrow(_tokens(n), "set_id long, at struct<block:long,cells:long>, n long, tokens array<long>").where("n > 0")
         return found.select("at.block", "at.cells", "set_id", "tokens").withColumn("cell", F.pmod(F.xxhash64("set_id"), "cells"))
 
