@@ -54,6 +54,12 @@ def fingerprints(w: Column, span: int, gram: int) -> Column:
     return F.when(F.size(w) >= span, found).otherwise(F.array().cast("array<struct<v:bigint,s:int,hs:array<bigint>>>"))
 
 
+def short_grams(w: Column, n: int) -> Column:
+    """Array like fingerprints(), of every n-gram of the words w as one window."""
+    one = lambda i: F.struct(F.xxhash64(F.lit(n), F.slice(w, i + 1, n)).alias("v"), i.alias("s"), F.array(F.lit(n).cast("long")).alias("hs"))
+    return F.transform(F.sequence(F.lit(0), F.size(w) - n), one)
+
+
 def _windows(hs: Column, span: int, gram: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(hs) - (span - gram) - 1), lambda j: F.xxhash64(F.get(hs, j), F.get(hs, j + span - gram)))
 
@@ -81,8 +87,7 @@ def winnow(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM
         # the first row stands for the document and counts its words; short items look up every n-gram of their length
         parts = [F.array(F.struct(F.lit(None).cast("long").alias("v"), F.lit(-1).alias("s"), F.array(F.size(w).cast("long")).alias("hs"))), fingerprints(w, span, gram)]
         for n in lengths:
-            grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.struct(F.xxhash64(F.lit(n), F.slice(w, i + 1, n)).alias("v"), i.alias("s"), F.array(F.lit(n).cast("long")).alias("hs")))
-            parts.append(F.when(F.size(w) >= n, grams).otherwise(F.slice(none, 1, 0)))
+            parts.append(F.when(F.size(w) >= n, short_grams(w, n)).otherwise(F.slice(none, 1, 0)))
         return F.concat(*parts)
 
     cut = docs.select(F.col(doc_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.explode(let(words(F.col(text_col), GAP_ALNUM), marked)).alias("f"))
