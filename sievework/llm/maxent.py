@@ -7,8 +7,8 @@ feature), and the hashed pair of both (an n-gram feature). Within a class a word
 training tokens, with one added to every count and one unseen word to every class.
 
 Histories repeat, so the gradient over all training tokens is a sum over distinct histories with counts. Those are
-counted once, dealt over tasks, and each step sums the tasks' gradients for the touched weight rows and sends the new
-weights out. Sizes of weights and of what comes to the driver follow from the constants here, not from the corpus.
+counted once, dealt over tasks, and each step sums the tasks' gradients by weight row, again dealt over tasks, and sends
+the new weights out. Sizes of weights and of what comes to the driver follow from the constants here, not from the corpus.
 Word counts are a shuffled table of all words of all training texts; scoring looks up the commonest in memory and
 joins the others.
 """
@@ -30,17 +30,18 @@ from sievework.llm.common import FOLD, Scratch, arrow_batches
 from sievework.llm.labelled import remainder
 
 CLASSES, GROUPS, OWN = 256, 16, 192
-FEATURES = 1 << 12
+FEATURES = 1 << 14
 PAIR_AT = 1 + 2 * CLASSES
 MULTIPLIER = 2654435761
 #: Tasks over the histories, of which there are CLASSES squared at most.
 TASKS = 8
-STEPS, RATE = 10, 0.5
+STEPS, RATE = 15, 0.5
 #: Strength of the prior that draws weights to 0, for single classes and histories the more so the fewer their tokens.
 PRIOR = 5.0
 #: Words whose counts every task holds; all others are joined.
 COMMON = 1 << 17
 FLUSH = 1_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = b"\n"  # no word holds white space
 
 
@@ -225,36 +226,48 @@ def _gradients(shipped):
 
 
 def _step(shipped):
-    """One step along the summed gradient, each weight's step scaled by the counts behind it; gives the new weights."""
+    """One step along the summed gradient, each weight's step scaled by the counts behind it; gives the new weights of
+    the rows that a task gets. Rows that no history touches stay 0."""
 
     def run(batches):
-        out = np.zeros((FEATURES, 2 * (GROUPS + CLASSES)), np.float32)
+        out: dict[int, np.ndarray] = {}
         for b in batches:
             for row, data in zip(b.column(0).to_pylist(), b.column(1)):
-                out[row] += np.frombuffer(data.as_buffer(), np.float32)
-        og, eg, oc, ec = np.split(out, [GROUPS, 2 * GROUPS, 2 * GROUPS + CLASSES], 1)
-        w = shipped.value
-        group, cls = w.group, w.cls.reshape(FEATURES, CLASSES)
-        group = group + RATE * (og - eg - PRIOR * group) / (np.maximum(og, eg) + PRIOR)
-        cls = cls + RATE * (oc - ec - PRIOR * cls) / (np.maximum(oc, ec) + PRIOR)
-        whole = np.concatenate([group, cls], 1).astype(np.float32)
-        at = list(range(0, FEATURES, 128))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([whole[i : i + 128].tobytes() for i in at], pa.binary())], ["at", "data"])
+                x = np.frombuffer(data.as_buffer(), np.float32)
+                if row in out:
+                    out[row] += x
+                else:
+                    out[row] = x.copy()
+        at = sorted(out)
+        for lo in range(0, len(at), 1000):
+            some = at[lo : lo + 1000]
+            og, eg, oc, ec = np.split(np.stack([out[row] for row in some]), [GROUPS, 2 * GROUPS, 2 * GROUPS + CLASSES], 1)
+            group, cls = shipped.value.group[some], shipped.value.cls[some].reshape(len(some), CLASSES)
+            group = group + RATE * (og - eg - PRIOR * group) / (np.maximum(og, eg) + PRIOR)
+            cls = cls + RATE * (oc - ec - PRIOR * cls) / (np.maximum(oc, ec) + PRIOR)
+            whole = np.concatenate([group, cls], 1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([r.tobytes() for r in whole], pa.binary())], ["row", "data"])
 
     return run
 
 
 def train_weights(counts: DataFrame, steps: int = STEPS) -> Weights:
-    """Tasks send the gradients of the rows that they touch, one task sums them and takes the step. What it sums and
-    what comes back is bounded by TASKS and FEATURES."""
-    w = Weights()
-    for _ in range(steps):
-        shipped = counts.sparkSession.sparkContext.broadcast(w)
-        sent = counts.coalesce(TASKS).mapInArrow(_gradients(shipped), "row long, data binary")
-        got = sorted((r["at"], bytes(r["data"])) for r in sent.repartition(1).mapInArrow(_step(shipped), "at long, data binary").collect())
-        whole = np.frombuffer(b"".join(data for _, data in got), np.float32).reshape(FEATURES, GROUPS + CLASSES)
-        w = Weights(whole[:, :GROUPS].copy(), whole[:, GROUPS:].reshape(FEATURES, GROUPS, -1).copy())
-        shipped.destroy()  # every step sends weights anew
+    """Tasks send the gradients of the rows that they touch, others sum them by row and take the step. What they hold
+    and what comes back is bounded by FEATURES; a step's shuffle files go with it."""
+    spark, w = counts.sparkSession, Weights()
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        for _ in range(steps):
+            shipped = spark.sparkContext.broadcast(w)
+            sent = counts.coalesce(TASKS).mapInArrow(_gradients(shipped), "row long, data binary")
+            got = sent.repartition(TASKS, "row").mapInArrow(_step(shipped), "row long, data binary").collect()
+            shipped.destroy()  # every step sends weights anew
+            for row, data in got:
+                x = np.frombuffer(data, np.float32)
+                w.group[row], w.cls[row] = x[:GROUPS], x[GROUPS:].reshape(GROUPS, -1)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return w
 
 

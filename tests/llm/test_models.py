@@ -90,3 +90,26 @@ def test_probabilities_sum_to_one():
     w = maxent.Weights(r.normal(size=(maxent.FEATURES, maxent.GROUPS)).astype(np.float32), r.normal(size=(maxent.FEATURES, maxent.GROUPS, maxent.CLASSES // maxent.GROUPS)).astype(np.float32))
     lp = maxent.log_probs(w, maxent.active(np.arange(0, 60000, 777)))
     assert np.allclose(np.exp(lp.astype(float)).sum(1), 1, atol=1e-4)
+
+
+def test_weight_table_and_steps_are_whole(spark):
+    pairs = maxent.active(np.arange(maxent.CLASSES**2))[:, 3]
+    assert len(np.unique(pairs)) > 15_000 and maxent.STEPS >= 15
+    r = np.random.default_rng(1)
+    history, cls, n = r.integers(0, maxent.CLASSES**2, 300), r.integers(0, maxent.CLASSES, 300), r.integers(1, 9, 300)
+    rows = [(int(h), [(int(c), int(k))]) for h, c, k in zip(history, cls, n)]
+    counts = spark.createDataFrame(rows, "history long, next array<struct<cls:int,n:long>>").repartition(5)
+    got = maxent.train_weights(counts, 3)
+
+    want, seen, at = maxent.Weights(), np.zeros((300, maxent.CLASSES)), maxent.active(history)
+    seen[np.arange(300), cls] = n
+    for _ in range(3):
+        p = np.exp(maxent.log_probs(want, at).astype(float)).reshape(300, maxent.GROUPS, -1)
+        og, g = seen.reshape(p.shape).sum(2), p.sum(2)
+        inside = p / g[:, :, None] * og[:, :, None]
+        for w, o, e in ((want.group, og, g * n[:, None]), (want.cls, seen.reshape(p.shape), inside)):
+            so, se = np.zeros(w.shape), np.zeros(w.shape)
+            np.add.at(so, at, o[:, None])
+            np.add.at(se, at, e[:, None])
+            w += (maxent.RATE * (so - se - maxent.PRIOR * w) / (np.maximum(so, se) + maxent.PRIOR)).astype(np.float32)
+    assert np.allclose(got.group, want.group, atol=1e-3) and np.allclose(got.cls, want.cls, atol=1e-3)
