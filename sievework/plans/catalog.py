@@ -319,12 +319,23 @@ def map_cascade(spark, d):
 o AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'P0' ELSE 'P1' END AS lv FROM orders)
 SELECT source, target, CAST(n AS INTEGER) AS n FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY pos) AS n FROM x JOIN o ON target = o_orderkey WHERE lv = 'P0') WHERE n <= 3""")
 def xref_expand(spark, d):
-    li = t(spark, d, "lineitem").where("l_partkey < 60")
-    refs = li.groupBy(F.col("l_partkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"]).alias("xrefs")).withColumn("tokens", F.lit(10))
-    items = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority").startswith("1"), "P0").otherwise("P1").alias("level"))
+    return expand_lines(t(spark, d, "lineitem").where("l_partkey < 60"), t(spark, d, "orders"))
+
+
+def expand_lines(lines, orders):
+    refs = lines.groupBy(F.col("l_partkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"]).alias("xrefs")).withColumn("tokens", F.lit(10))
+    items = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority").startswith("1"), "P0").otherwise("P1").alias("level"))
     return registry.expand_xrefs(refs, items)
 
 
+@query("""WITH x AS (SELECT l_partkey AS source, l_orderkey AS target, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem),
+o AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'P0' ELSE 'P1' END AS lv FROM orders)
+SELECT source, target, CAST(n AS INTEGER) AS n FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY pos) AS n FROM x JOIN o ON target = o_orderkey WHERE lv = 'P0') WHERE n <= 3""")
+def xref_expand_all(spark, d):
+    """The references of every part; xref_expand keeps the parts of its SQL."""
+    return expand_lines(t(spark, d, "lineitem"), t(spark, d, "orders"))
+
+
 @query("SELECT doc_id, CASE WHEN contains(lower(source), 'src1') THEN 3 ELSE 0 END + CAST((length(lower(source || ' ' || text)) - length(replace(lower(source || ' ' || text), 'src1', ''))) // 4 AS INTEGER) AS score FROM documents WHERE contains(lower(source || ' ' || text), 'src1')")
 def item_query(spark, d):
     items = t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.col("text").alias("body"))
