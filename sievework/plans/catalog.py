@@ -315,6 +315,27 @@ def map_cascade(spark, d):
     return registry.map_rules(rs, items, known, manual)
 
 
+@query(rf"""WITH i AS (SELECT DISTINCT 'N' || p_name AS id, p_name AS name, string_split(p_name, ' ') AS kw, '' AS body FROM part
+  UNION ALL SELECT 'B' || item_id, text, [], text FROM benchmark),
+r AS (SELECT 'P' || p_partkey AS rule_id, concat(p_name, ' ', p_type) AS title FROM part),
+p AS (SELECT rule_id, id AS item, {NAME.format(c='title')} AS a, {NAME.format(c='name')} AS b, len(list_filter(kw, lambda k: k <> '' AND contains(lower(title), lower(k)))) AS hits, lower(body) AS body FROM r, i),
+s AS (SELECT rule_id, item, least(1::DOUBLE, len(list_intersect(a, b))::DOUBLE / greatest(1, len(a) + len(b) - len(list_intersect(a, b))) + least(0.20::DOUBLE, hits * 0.07::DOUBLE) + 0::DOUBLE
+  + coalesce(len(list_filter(a, lambda w: length(w) >= 2 AND contains(body, w)))::DOUBLE / nullif(len(list_filter(a, lambda w: length(w) >= 2)), 0) * 0.15::DOUBLE, 0)) AS score FROM p WHERE hits > 0 OR len(list_intersect(a, b)) > 0),
+b AS (SELECT rule_id, item, score, score - coalesce(lead(score) OVER w, 0) AS margin, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY rule_id ORDER BY score DESC, item))
+SELECT r.rule_id, CASE WHEN score >= 0.32::DOUBLE THEN item END AS item,
+  CASE WHEN score >= 0.5::DOUBLE THEN CASE WHEN margin < 0.08::DOUBLE THEN 'name_low_margin' ELSE 'name' END WHEN score >= 0.32::DOUBLE THEN 'review' ELSE 'open' END AS how
+FROM r LEFT JOIN b ON r.rule_id = b.rule_id AND b.n = 1""")
+def map_cascade_names(spark, d):
+    """All part names to the distinct names and the benchmark, with every part of the score but the scene; map_cascade
+    keeps the rows and prefixes of its SQL."""
+    part = t(spark, d, "part")
+    rs = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("rule_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    names = part.select("p_name").distinct().select(F.concat(F.lit("N"), F.col("p_name")).alias("id"), F.col("p_name").alias("name"), F.split("p_name", " ").alias("keywords"), F.lit("").alias("body"))
+    items = names.union(t(spark, d, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")), "text", F.array().cast("array<string>"), "text"))
+    none = rs.select("rule_id", F.lit(None).cast("string").alias("item")).limit(0)
+    return registry.map_rules(rs, items, none, none)
+
+
 @query("""WITH x AS (SELECT l_partkey AS source, l_orderkey AS target, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem WHERE l_partkey < 60),
 o AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'P0' ELSE 'P1' END AS lv FROM orders)
 SELECT source, target, CAST(n AS INTEGER) AS n FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY pos) AS n FROM x JOIN o ON target = o_orderkey WHERE lv = 'P0') WHERE n <= 3""")

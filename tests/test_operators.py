@@ -177,3 +177,12 @@ def test_span_rules(spark):
     assert sorted((r.path, r.rule_id, r.line_no) for r in span_rules.scan_spans(ls, sp, ["path"]).collect()) == [("a", "GD107", 2), ("b", "GD107", 2)]
     assert [(r.path, r.rule_id) for r in span_rules.scan_pairs(ls, sp, ["path"]).collect()] == [("a", "GD15")]
     assert span_rules.long_spans(sp, ["path"], 2).count() == 4
+
+
+def test_map_score_counts_keywords_scene_and_body(spark):
+    r = spark.createDataFrame([("A", "alpha beta", "s"), ("B", "gamma delta", "t")], "rule_id string, title string, scene string")
+    i = spark.createDataFrame([("X", "alpha", ["beta"], "s", "Alpha and BETA"), ("Y", "other", ["gam", "elt", "ta", ""], "t", "Delta"), ("Z", "none", None, "t", None)], "id string, name string, keywords array<string>, scene string, body string")
+    got = {(x.rule_id, x.item): round(x.score, 6) for x in registry.map_candidates(r, i).collect()}
+    assert got == {("A", "X"): round(0.5 + 0.07 + 0.08 + 0.15, 6), ("A", "Y"): 0.07, ("B", "Y"): round(0.20 + 0.08 + 0.075, 6)}
+    none = r.select("rule_id", r.title.alias("item")).limit(0)
+    assert sorted(map(tuple, registry.map_rules(r, i, none, none).collect())) == [("A", "X", "name"), ("B", "Y", "review")]
