@@ -1,4 +1,4 @@
-"""Connected components as joins and map-side-combined minima; nothing is collected."""
+"""Connected components by contraction: joins and map-side-combined minima; nothing is collected."""
 
 from __future__ import annotations
 
@@ -8,27 +8,42 @@ from pyspark.sql import functions as F
 from sievework.llm.common import Scratch
 
 
+def roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
+    """parents (id, up) with up < id -> the same with up the last ancestor; chains shorten by halves each round."""
+    while True:
+        jump = parents.select(F.col("id").alias("jid"), F.col("up").alias("jup"))
+        step = parents.join(jump, F.col("up") == F.col("jid"), "left").select("id", F.coalesce("jup", "up").alias("up"), F.col("jup").isNotNull().alias("moved"))
+        new = scratch.keep(step, "jumped")
+        scratch.drop(parents)
+        parents = new.select("id", "up")
+        parents._scratch_path = new._scratch_path
+        if new.where("moved").limit(1).count() == 0:
+            return parents
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (a long, b long), in any direction and with repeats -> (id, label), label the smallest id reachable.
 
-    Each round takes the smallest label among a node's neighbours and then jumps to the label's own label, so
-    chains shorten by halves. Every round is written out: joins read plain tables, whose hot keys AQE can split.
-    Null ends and self-loops are ignored; ids on no proper edge are absent."""
-    edges = edges.where("a is not null and b is not null and a <> b")
-    both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
+    Each round hangs every node below its smallest smaller neighbour and puts the tree's root in place of each node
+    of the tree, so only edges between different trees go on; at least half of the nodes that still have edges vanish.
+    Every round is written out: joins read plain tables, whose hot keys AQE can split. Null ends and self-loops are
+    ignored; ids on no proper edge are absent."""
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges, labels = scratch.keep(edges.distinct(), "edges"), None
     while True:
-        heard = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("heard"))
-        jump = labels.select(F.col("id").alias("jid"), F.col("label").alias("jlabel"))
-        step = (
-            labels.join(heard, labels.id == heard.a, "left")
-            .select("id", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("label"))
-            .join(jump, F.col("label") == F.col("jid"), "left")
-            .select("id", "was", F.least("label", F.coalesce("jlabel", "label")).alias("label"))
-        )
-        new = scratch.keep(step, "labels")
-        scratch.drop(labels)
-        labels = new
-        if labels.where("was <> label").limit(1).count() == 0:
-            scratch.drop(both)
-            return labels.select("id", "label")
+        up = roots(scratch.keep(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")), "parents"), scratch)
+        low, high = up.select(F.col("id").alias("low"), F.col("up").alias("low_root")), up.select(F.col("id").alias("high"), F.col("up").alias("high_root"))
+        ends = edges.join(high, F.col("b") == F.col("high")).join(low, F.col("a") == F.col("low"), "left").select(F.coalesce("low_root", "a").alias("a"), F.col("high_root").alias("b"))
+        left = scratch.keep(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        # nodes of earlier rounds follow their root; those that first get one now come from this round
+        if labels is None:
+            new = up.select("id", F.col("up").alias("label"))
+            own = edges.select(F.col("a").alias("id")).distinct().join(low, F.col("id") == F.col("low"), "left_anti").select("id", F.col("id").alias("label"))
+            new = new.union(own)
+        else:
+            new = labels.join(low, F.col("label") == F.col("low"), "left").select("id", F.coalesce("low_root", "label").alias("label"))
+        new = scratch.keep(new, "labels")
+        scratch.drop(edges, up, *([labels] if labels is not None else []))
+        edges, labels = left, new
+        if edges.limit(1).count() == 0:
+            return labels

@@ -201,20 +201,15 @@ def _may_link(num: int, den: int):
     """Of rows (key, set_id, n, bits) that come key by key: edges that tie together what may link below a key."""
 
     def edges(rows: list) -> list[tuple[int, int]]:
+        """Below a key every class hangs from its smallest id, so that keys with one smallest set give the same edges."""
         rows.sort()
-        out, parent = [], list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def tie(i: int, j: int) -> None:
-            if (a := find(i)) != (b := find(j)):
-                parent[max(a, b)] = min(a, b)
-                out.append((rows[i][1], rows[j][1]))
+        label = classes(rows)
+        least: dict[int, int] = {}
+        for k, r in zip(label, rows):
+            least[k] = min(least.get(k, r[1]), r[1])
+        return [(least[k], r[1]) for k, r in zip(label, rows) if r[1] != least[k]]
 
+    def classes(rows: list) -> list[int]:
         width = min(len(r[2]) for r in rows) * 8
         if len(rows) > 24:
             i, j = Tree(np.stack([folded(r[2], width) for r in rows]), np.array([r[0] for r in rows])).pairs(num, den)
@@ -226,34 +221,35 @@ def _may_link(num: int, den: int):
                 np.minimum.at(new, j, least)
                 new = new[new]
                 if (new == label).all():
-                    return [(rows[x][1], rows[k][1]) for k, x in enumerate(label.tolist()) if x != k]
+                    return label.tolist()
                 label = new
+        parent = list(range(len(rows)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         bits = [int.from_bytes(folded(r[2], width).tobytes(), "little") for r in rows]
         for j in range(len(rows)):
             for i in range(j):
-                if find(i) != find(j):
+                if (p := find(i)) != (q := find(j)):
                     a, b, x, y = rows[i][0], rows[j][0], bits[i], bits[j]
                     both = (x & y).bit_count()
                     most = both + min(a - x.bit_count(), b - y.bit_count())
                     if min(most, a - (x & ~y).bit_count(), b - (y & ~x).bit_count()) * (num + den) >= num * (a + b):
-                        tie(i, j)
-        return out
+                        parent[max(p, q)] = min(p, q)
+        return [find(x) for x in range(len(rows))]
 
     def run(batches):
-        now, rows, hub, out = None, [], None, []
+        now, rows, out = None, [], []
         for b in batches:
             for key, i, n, bits in zip(*(b.column(c).to_pylist() for c in range(4))):
                 if key != now:
                     out += edges(rows) if len(rows) > 1 else []
-                    now, rows, hub = key, [], None
-                if hub is not None:
-                    out.append((hub, i))
-                else:
-                    rows.append((n, i, bits))
-                    if len(rows) > GROUP:  # a larger group stays together; its cells are compared later on
-                        hub = rows[0][1]
-                        out += [(hub, r[1]) for r in rows[1:]]
-                        rows = []
+                    now, rows = key, []
+                rows.append((n, i, bits))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
                     out = []
@@ -264,6 +260,26 @@ def _may_link(num: int, den: int):
     return run
 
 
+def _ties(met: DataFrame, signatures: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """met (key, set_id), signatures (sid, n, bits) -> edges (a, b) between sets that may link. A key of more than GROUP
+    sets never comes to one task: its sets stay together, tied to the smallest, and their cells are compared later."""
+    crowds = met.groupBy("key").agg(F.count("*").alias("c"), F.min("set_id").alias("first")).where(F.col("c") > GROUP)
+    crowds = scratch.keep(crowds.select(F.col("key").alias("ckey"), "first"), "crowds")
+    few = small(crowds, 1_000_000)
+    hung = met.join(few, F.col("key") == F.col("ckey")).where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+    rest = met.join(few, F.col("key") == F.col("ckey"), "left_anti").join(signatures, F.col("set_id") == F.col("sid")).select("key", "set_id", "n", "bits")
+    return rest.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_may_link(num, den), "a long, b long").union(hung)
+
+
+def _stars(ties: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, with the same components: every set hangs from its smallest neighbour, as do the others that
+    it hung from. A set has one of those for each of its keys at most; over a group of near copies they are the same
+    few, so that edges are about as many as sets."""
+    smallest = ties.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("s"))
+    ends = F.concat(F.array("b"), F.array_remove("s", F.col("m")))
+    return smallest.select(F.col("m").alias("a"), F.explode(ends).alias("b")).distinct()
+
+
 def _tokens(n: int):
     def run(batches):
         for b in batches:
@@ -429,9 +445,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     firsts = texts.where("doc_id is not null").join(small(spare, 1_000_000), (F.col("doc_id") == F.col("x")) & F.col("th").eqNullSafe(F.col("xth")), "left_anti")
     keyed = firsts.select("doc_id", "text").mapInArrow(_keys(n, num, den), "key long, set_id long").repartition("key").sortWithinPartitions("key", "set_id")
     met = scratch.keep(keyed.mapInArrow(_shared, "key long, set_id long").distinct(), "met")
-    signed = met.join(small(signatures, 200_000, "bits"), F.col("set_id") == F.col("sid")).select("key", "set_id", "n", "bits")
-    ties = signed.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_may_link(num, den), "a long, b long").distinct()
-    blocks = components(scratch.keep(ties, "ties"), scratch)
+    ties = scratch.keep(_stars(_ties(met, small(signatures, 200_000, "bits"), num, den, scratch)), "ties")
+    blocks = components(ties, scratch)
     scratch.drop(described, copies, met)
 
     sized = blocks.join(slim.where("doc_id = class_id").groupBy("doc_id").agg(F.max("n").alias("n")), F.col("id") == F.col("doc_id"))

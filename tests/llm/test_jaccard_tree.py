@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievework.llm import jaccard_tree as J
@@ -65,3 +67,50 @@ def test_edges_of_input(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None), (3, "q r s t u v"), (4, "q r s t u v")]
     got = sorted(map(tuple, J.ngram_jaccard_join(spark.createDataFrame(rows, schema)).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (3, 0, 3), (3, 2, 3), (4, 2, 3)], key=str)
+
+
+def near_copy_edges(size, n, num):
+    """Distinct edges that the keys give for one group of near copies, without Spark."""
+    r = random.Random(size)
+    base = ["".join(r.choice("abcdefg") for _ in range(4)) for _ in range(120)]
+    texts = []
+    for i in range(size):
+        new = list(base)
+        for _ in range(r.choice([0, 1, 2])):
+            new[r.randrange(len(new))] = f"x{i}"
+        texts.append(" ".join(new).encode())
+    sets, keys = J.shingle_sets(texts, n), J.Keys(num, 10)
+    with np.errstate(over="ignore"):
+        rows = sorted((k, i) for i, s in enumerate(sets) for k in keys.of(s).view(np.int64).tolist())
+    met = [b for run in J._shared([pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["key", "set_id"])]) for b in run.to_pylist()]
+    signed = pa.RecordBatch.from_pylist([{**m, "n": len(sets[m["set_id"]]), "bits": J.signature(sets[m["set_id"]])} for m in met])
+    return {(e["a"], e["b"]) for out in J._may_link(num, 10)([signed]) for e in out.to_pylist()}
+
+
+@pytest.mark.parametrize("n,num", [(5, 8), (3, 9)])
+def test_near_copies_give_edges_in_proportion(spark, n, num):
+    for size in (100, 400, 1600):
+        edges = near_copy_edges(size, n, num)
+        assert len(edges) < 6 * size and J._stars(spark.createDataFrame(sorted(edges), "a long, b long")).count() < 1.6 * size
+
+
+def test_components_on_chains_stars_and_trees(spark):
+    from sievework.llm.common import Scratch
+    from sievework.llm.components import components
+
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(90)] + [(None, 4), (5, 5), (101, 100)]
+    edges += [(900 + a, 900 + b) for a, b in zip(r.sample(range(40), 40), r.sample(range(40), 40))]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()))
+    parent = {x: x for e in edges for x in e if None not in e and e[0] != e[1]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in parent}

@@ -34,19 +34,40 @@ def test_run_equals_the_stages(spark):
     assert rows.count() > 0 and {"doc_id", "text", "depth", "prefix", "shard_bytes"} <= set(rows.columns)
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_awkward_documents(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(None, "a b c", None, None, None), (1, None, "x", None, 0), (1, "", "x", "s", 0), (2, "w " * 3000, None, "s", None), (2, "w " * 3000, None, "s", None), (3, "one two three four five six", "x", "s", 1)]
-    docs = spark.createDataFrame(rows, schema)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sizes = [docs.count()]
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
-        assert docs.count() >= 0
-    empty = spark.createDataFrame([], schema)
+        sizes.append(docs.count())
+    assert sizes[1:4] == [6, 5, 5] and sizes[5] == sizes[4] > 0
+    assert {r.text for r in docs.collect()} <= {t for _, t, *_ in rows}
+    empty = spark.createDataFrame([], SCHEMA)
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
 
 
+def test_rows_are_judged_by_id_and_text(spark):
+    """Repeated and null ids: what a row's text says decides about that row, not about others with its id."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    plain = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(40))
+    docs = spark.createDataFrame([(5, plain, "x", "s", 1), (5, other, "x", "s", 2), (None, plain, "y", "s", 3), (7, plain + " end", "z", "s", 4), (None, other, "x", "t", 5), (9, "", "a", "s", 6), (9, "", "b", "s", 7), (None, None, "a", "s", 8)], SCHEMA)
+    kept = sorted((str(r.doc_id), r.text or "", r.lang) for r in cp.drop_near_duplicates(spark, docs, SF).collect())
+    assert kept == sorted([("5", plain, "x"), ("5", other, "x"), ("9", "", "a"), ("None", "", "a")])
+    docs = spark.createDataFrame([(5, plain, "x", "s", 1), (5, plain + " " + item, "x", "s", 2), (None, item, "y", "s", 3), (None, other, "y", "s", 4)], SCHEMA)
+    kept = sorted((str(r.doc_id), r.n_chars) for r in cp.drop_contaminated(spark, docs, SF).collect())
+    assert kept == [("5", 1), ("None", 4)]
+    docs = spark.createDataFrame([(5, plain, "x", "s", 1), (5, plain, "x", "t", 2), (5, plain, "x", "u", 3), (6, other, "x", "s", 4)], SCHEMA)
+    mixed = cp.mix_sources(spark, docs, SF)
+    assert {r.source for r in mixed.collect() if r.doc_id == 5} >= {"t", "u"} and {(r.source, r.n_chars) for r in mixed.collect()} <= {("s", 1), ("t", 2), ("u", 3), ("s", 4)}
+
+
 def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
