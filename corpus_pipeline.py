@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sievework.llm import jaccard_tree, mixing, sharding, toxicity, winnowing
 from sievework.llm.common import Scratch, small, table
@@ -20,28 +19,52 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (gone); null doc_ids stay."""
+    """docs without the rows whose doc_id is in ids (gone)."""
     return docs.join(small(ids, 1_000_000), F.col("doc_id") == F.col("gone"), "left_anti")
 
 
+def row_key(docs: DataFrame):
+    """A long that rows of docs share only if they share doc_id and text, null ones included."""
+    salt, exact = 0, F.struct("doc_id", F.md5("text").alias("t"))
+    while True:
+        key = F.xxhash64(F.lit(salt), F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text")
+        met = docs.groupBy(key.alias("k")).agg(F.min(exact).alias("lo"), F.max(exact).alias("hi")).where("not (lo <=> hi)")
+        if met.limit(1).count() == 0:
+            return key
+        salt += 1
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the
-    smallest doc_id stays; of rows that repeat a doc_id, the one whose text comes first."""
+    smallest doc_id stays; null ids come last, and of one id the smallest md5 of the text.
+
+    A document is a doc_id with a text. Rows that repeat both are one document, of which the row with the smallest
+    columns stays; rows that share only the doc_id, or have none, are documents of their own. Texts without words are
+    alone."""
     scratch = Scratch(spark, "near")
-    found = scratch.keep(jaccard_tree.ngram_jaccard_join(docs, n=5, num=8, den=10).select("doc_id", "component_id"), "found")
-    kept = drop_ids(docs, scratch.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.limit(1).count() == 0:
-        return kept
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_first", first).where("_first = 1 or doc_id is null").drop("_first")
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() == 0:
+        found = jaccard_tree.ngram_jaccard_join(docs, n=5, num=8, den=10)
+        return drop_ids(docs, scratch.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "gone"))
+    key = row_key(docs)
+    found = jaccard_tree.ngram_jaccard_join(docs.select(key.alias("doc_id"), "text"), n=5, num=8, den=10)
+    found = scratch.keep(found.select(F.col("doc_id").alias("k"), "component_id").distinct(), "found")
+    names = docs.select(key.alias("_k"), "doc_id", F.md5("text").alias("t")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "k"))
+    stay = scratch.keep(found.join(names, F.col("k") == F.col("_k")).groupBy("component_id").agg(first.alias("s")).select(F.col("s.k").alias("_stay")), "stay")
+    kept = docs.withColumn("_row", key).join(small(stay, 1_000_000), F.col("_row") == F.col("_stay"), "left_semi")
+    again = scratch.keep(kept.groupBy("_row").count().where("count > 1").select(F.col("_row").alias("_again")), "again")
+    one = kept.join(small(again, 1_000_000), F.col("_row") == F.col("_again"), "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("s"))
+    rest = kept.join(small(again, 1_000_000), F.col("_row") == F.col("_again"), "left_anti").select(*docs.columns)
+    return rest.unionByName(one.select("s.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of some benchmark item go."""
+    """Documents that hold a window of some benchmark item go: every row with such a doc_id and text, null ids
+    included. Other rows of the same doc_id stay, as do null and empty texts."""
     scratch = Scratch(spark, "leaks")
-    found = winnowing.winnow(docs, table(spark, sf_dir, "benchmark"))
-    return drop_ids(docs, scratch.keep(found.where("n_items > 0").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
+    found = winnowing.winnow(docs, table(spark, sf_dir, "benchmark")).where("n_items > 0")
+    gone = scratch.keep(found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    return docs.join(small(gone, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
