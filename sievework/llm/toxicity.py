@@ -1,11 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One bigram model for toxic and one for ordinary text, both interpolated over class unigrams and those over shared
-continuation counts (in how many different contexts a word was seen, in either class). An expression has mass of its
-own in a class only if more of the class's documents hold it than its share by Z standard deviations; the absolute
-discount takes all of the others' mass, so rare and evenly spread expressions are left to counts that both classes
-share and speak for neither. On the way there a word backs off to its stem, its first bytes, where that stands out. A text is judged by the difference of its log-likelihoods per token; a logistic curve, fitted on
-sampled rows that the counts have not seen, weighs that difference with the text's length into a score from 0 to 1.
+One interpolated bigram model for toxic and one for ordinary text. In a class c a word w after v has
+
+    p_c(w | v) = max(n_c(v, w) - D, 0) / n_c(v) + b_c(v) * p_c(w)
+
+with b the mass that the discounts D free. A word of its own backs off to its stems, its first STEMS bytes, the longest
+first, and they to what both classes share:
+
+    p_c(w) = max(n_c(w) - D, 0) / N_c + b_c * p_c(s) * q(w) / q(s)    and likewise for s and the next shorter stem.
+
+q comes from continuation counts, in how many different contexts a word was seen, of which each word has the lesser of
+its two classes' shares; one share goes to each word, and one to all unknown words below each stem. Counts are of
+texts: a text that repeats an expression counts once. D takes one count and what chance may have added, so rare
+expressions have nearly all their mass from shared counts and speak for neither class. Each model sums to one.
+
+A text is judged by the difference of its two log-likelihoods per token. A logistic curve, fitted on sampled rows
+that the counts have not seen, turns that difference, the same times the root of the length, and how much of it comes
+from expressions that are far likelier in the toxic class, into a score from 0 to 1.
 """
 
 from __future__ import annotations
@@ -17,6 +28,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +37,13 @@ from sievework.llm.labelled import labelled_sample, remainder
 
 #: Sampled training rows of each class at most; the model's size is bounded by them.
 PER_CLASS = 3000
-#: Taken from the counts of expressions that a class holds for itself.
-DISCOUNT, Z, MIN_COUNT = 0.75, 4.5, 2
-STEMS = (10, 9, 8, 7, 6, 5, 4)
 STRIP = b".,;:!?\"'()[]{}%*&$|<>-"
+#: Bytes of a word's stems.
+STEMS = (4, 5, 6, 7, 8, 10)
+#: What chance may add to a class's count, in standard deviations.
+DEVIATIONS = 1.0
+#: Differences of log-likelihood from which on an expression counts as far likelier.
+FAR = (1.0, 2.0, 3.0, 4.0)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -36,82 +51,107 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in (x.strip(STRIP) for x in text.translate(FOLD).split()) if w]
 
 
-class Vocabulary(dict):
-    """word -> index; a word that it lacks has that of its longest stem that stands out, else 0."""
+class Numbered(dict):
+    def __missing__(self, w: bytes) -> int:
+        self[w] = n = len(self)
+        return n
 
-    stems: dict[bytes, int] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        for n in STEMS:
-            if len(word) > n and (i := self.stems.get(word[:n])):
-                return i
-        return 0
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    def __reduce__(self):
-        return _vocabulary, (dict(self), self.stems)
 
+def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(code of every token, tokens of each text, words by code)."""
+    numbers, docs = Numbered(), [tokens(t) for t in texts]
+    sizes = np.array([len(d) for d in docs], np.int64)
+    return np.fromiter(map(numbers.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum())), sizes, list(numbers)
 
-def _vocabulary(words: dict, stems: dict) -> Vocabulary:
-    v = Vocabulary(words)
-    v.stems = stems
-    return v
+
+def discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts after the discount of one and DEVIATIONS of a Poisson count, and what was taken."""
+    d = np.minimum(n, 1 + DEVIATIONS * np.sqrt(n))
+    return n - d, d
 
 
 @dataclass
 class Model:
-    """Columns of each array: ordinary, toxic."""
+    """Columns of each array: ordinary, toxic. words: sorted hashes, word k being row k + 1; row 0 is for unknown words
+    without a known stem and, as a context, for anything but a known word. stems: for each length the sorted hashes
+    and, in stem_rows, the rows of unknown words below them."""
 
-    vocab: Vocabulary
+    words: np.ndarray
+    stems: list[np.ndarray]
+    stem_rows: list[np.ndarray]
     unigram: np.ndarray
     backoff: np.ndarray
     pairs: np.ndarray
     pair_mass: np.ndarray
     curve: np.ndarray
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: difference of log-likelihoods per token, that times the root of the length and the length, and 1."""
-        docs = [tokens(t) for t in texts]
-        sizes = np.array([len(d) for d in docs], np.int64)
-        w = np.fromiter(map(self.vocab.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Rows of words; an unknown one has that of its longest known stem."""
+        out = np.zeros(len(words), np.int64)
+        found, at = look_up(self.words, hashes(words))
+        out[found] = at[found] + 1
+        left = np.flatnonzero(~found)
+        for k, names, rows in reversed(list(zip(STEMS, self.stems, self.stem_rows))):
+            found, at = look_up(names, hashes([words[i][:k] for i in left.tolist()]))
+            out[left[found]] = rows[at[found]]
+            left = left[~found]
+        return out
+
+    def probabilities(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """(n, 2): p(w | v) in either class."""
+        v = np.where(v <= len(self.words), v, 0)
+        p = self.backoff[v].astype(float) * self.unigram[w]
+        both = np.flatnonzero((v > 0) & (w > 0) & (w <= len(self.words)))
+        hit, at = look_up(self.pairs, v[both] * (len(self.words) + 1) + w[both])
+        p[both[hit]] += self.pair_mass[at[hit]]
+        return p
+
+    def gaps(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(log p_toxic - log p_ordinary of every token, tokens of each text)."""
+        flat, sizes, words = coded(texts)
+        w = self.numbers(words)[flat]
         v = np.r_[0, w[:-1]] if len(w) else w
-        v[starts[sizes > 0]] = 0
-        p = self.backoff[v] * self.unigram[w]
-        both = np.flatnonzero((v > 0) & (w > 0))
-        if len(self.pairs) and len(both):
-            key = v[both] * len(self.unigram) + w[both]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            p[both[hit]] += self.pair_mass[at[hit]]
-        gap = np.log(p[:, 1]) - np.log(p[:, 0])
-        total = np.r_[0.0, np.cumsum(gap)]
-        mean = (total[ends] - total[starts]) / np.maximum(sizes, 1)
-        return np.column_stack([np.clip(mean, -1, 1), np.clip(mean * np.sqrt(sizes), -10, 10), np.clip(mean * sizes, -20, 20), np.ones(len(docs))])
+        v[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+        p = np.log(self.probabilities(v, w))
+        return p[:, 1] - p[:, 0], sizes
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.curve, -30, 30)))
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """For each text: difference of log-likelihoods per token, that times the root of the length, what is beyond
+        each of FAR by the root of the length and as a logarithm, and 1."""
+        gap, sizes = self.gaps(texts)
+        ends, root = np.cumsum(sizes), np.sqrt(np.maximum(sizes, 1))
 
+        def total(x: np.ndarray) -> np.ndarray:
+            upto = np.r_[0.0, np.cumsum(x)]
+            return upto[ends] - upto[ends - sizes]
 
-def stands_out(held: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """held (expressions, classes): documents that hold an expression; docs (classes): documents."""
-    expected = held.sum(1, keepdims=True) * (docs / docs.sum())
-    return ((held - expected) / np.sqrt(expected + 1) >= Z).any(1)
+        per = total(gap) / root**2
+        far = [total(np.maximum(gap - least, 0)) for least in FAR]
+        return np.column_stack([np.clip(per, -2, 2), np.clip(per * root, -20, 20), *(f(x) for x in far for f in (lambda x: np.clip(x / root, 0, 10), np.log1p)), np.ones(len(texts))])
 
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.curve, -30, 30)))
 
-def uses(what: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For expressions what (numbers below size) in documents doc: how often each class uses them, and in how many
-    documents."""
-    n = np.bincount(what * 2 + y[doc], minlength=2 * size).reshape(-1, 2)
-    once = np.unique(doc.astype(np.int64) * size + what)
-    held = np.bincount(once % size * 2 + y[once // size], minlength=2 * size).reshape(-1, 2)
-    return n.astype(float), held.astype(float)
 
+def look_up(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of wanted are among the sorted names, and where."""
+    if not len(names):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return names[at] == wanted, at
 
-class Numbered(dict):
-    def __missing__(self, w: bytes) -> int:
-        self[w] = n = len(self)
-        return n
+
+def shared_counts(first: np.ndarray, then: np.ndarray, toxic: np.ndarray, rows: int) -> tuple[np.ndarray, float]:
+    """Discounted continuation counts that both classes share of each word, and what the discounts free."""
+    kinds = [np.bincount(np.unique(first[toxic == c] * rows + then[toxic == c]) % rows, minlength=rows) for c in (0, 1)]
+    total = [max(1, k.sum()) for k in kinds]
+    least = np.minimum(*(k * (min(total) / t) for k, t in zip(kinds, total)))
+    d = np.minimum(least, 0.75)
+    return least - d, max(float(d.sum()), 1.0)
 
 
 def train(texts: list[bytes], y: list[int]) -> Model:
@@ -119,63 +159,68 @@ def train(texts: list[bytes], y: list[int]) -> Model:
     rng = np.random.default_rng(7)
     y_, hold = np.array(y, np.int64), np.zeros(len(y), bool)
     hold[rng.permutation(len(y))[: len(y) // 4]] = True
-    numbers, flat, sizes = Numbered(), [], []
-    for t in (t for t, h in zip(texts, hold) if not h):
-        words = tokens(t)
-        flat.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-        sizes.append(len(words))
-    cls, names, size = y_[~hold], list(numbers), len(numbers)
-    w = np.concatenate([*flat, np.zeros(0, np.int64)])
+    flat, sizes, names = coded([t for t, h in zip(texts, hold) if not h])
+    order = np.argsort(h := hashes(names))
+    names = [names[i] for i in order.tolist()]
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(1, len(names) + 1)
+    rows = len(names) + 1
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    docs = np.maximum(np.bincount(cls, minlength=2), 1)
-    n, held = uses(w, doc, cls, size)
-    total = np.maximum(n.sum(0), 1)
-    out = stands_out(held, docs)
+    cls, w = y_[~hold][doc], place[flat]
     inner = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
     first, then = w[inner], w[inner + 1]
-    contexts = np.bincount(np.unique(first * size + then) % max(size, 1), minlength=size) if size else np.zeros(0)
-    shared = (contexts + 1.0) / (contexts.sum() + size + 1)
-
-    def mass(n: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Discounted share of each class, over a base that both share."""
-        return np.maximum(n - DISCOUNT, 0) / total + base[:, None]
-
-    stems: dict[bytes, np.ndarray] = {}
-    for k in STEMS:  # one length at a time, to hold few of them
-        cut = Numbered()
-        of = np.array([cut[x[:k]] if len(x) > k else -1 for x in names], np.int64) if names else np.zeros(0, np.int64)
-        at = of[w] >= 0
-        sn, sheld = uses(of[w[at]], doc[at], cls, max(len(cut), 1))
-        good = np.flatnonzero((sheld.sum(1) > Z) & stands_out(sheld, docs))
-        heads = list(cut)
-        stems |= dict(zip((heads[i] for i in good), mass(sn[good], 0.05 * sn[good].sum(1) / total.sum() + 1e-9)))
-    known = np.flatnonzero(n.sum(1) >= MIN_COUNT)
-    words = np.where(out[:, None], mass(n, 0.05 * n.sum(1) / total.sum() + 0.1 * shared), 0.9 * (n.sum(1, keepdims=True) / total.sum()) + 0.1 * shared[:, None])[known]
-    # 0 is for words that are unknown; stems that stand out follow the words
-    vocab = _vocabulary({names[i]: k + 1 for k, i in enumerate(known)}, {x: 1 + len(known) + k for k, x in enumerate(stems)})
-    unigram = np.vstack([np.full((1, 2), 1 / (total.sum() + 1)), words, *stems.values()])
-    for k, i in enumerate(known):
-        if not out[i] and (j := vocab.__missing__(names[i])):
-            unigram[k + 1] *= unigram[j] / unigram[j].mean()
-    rows, backoff, often = len(unigram), np.ones((len(unigram), 2)), held.sum(1) > Z
-    place = np.zeros(size, np.int64)
-    place[known] = np.arange(1, len(known) + 1)
-    both = often[first] & often[then] & (place[first] > 0) & (place[then] > 0)
-    code, pair = np.unique(place[first[both]] * rows + place[then[both]], return_inverse=True)
-    pn, pheld = uses(pair, doc[inner][both], cls, max(len(code), 1))
-    apart = stands_out(pheld, docs)[: len(code)]
-    code, share = code[apart], np.maximum(pn[: len(apart)][apart] - DISCOUNT, 0)
-    share = share / np.maximum(n[known[code // rows - 1]], 1)
+
+    # the tree of stems: for each length the hashes, and the node of each word
+    tree = [np.unique(hashes([x[:k] for x in names]), return_inverse=True) for k in STEMS]
+    counts, free = shared_counts(first, then, cls[inner], rows)
+    starts = np.r_[rows, rows + np.cumsum([len(t[0]) for t in tree])]
+    share = free / starts[-1]  # of each word, of the unknown ones below each stem, and of all others
+    q = counts + share
+    q_nodes = [np.bincount(at, q[1:], len(stem)) for stem, at in tree]
+    ups = []  # each node's parent
+    for k, (stem, at) in enumerate(tree):
+        up = np.zeros(len(stem), np.int64)
+        up[at] = tree[k - 1][1] if k else 0
+        ups.append(up)
+    for k in range(len(tree) - 1, -1, -1):
+        q_nodes[k] = q_nodes[k] + share
+        for j in range(k):
+            at = ups[k]
+            for i in range(k - 1, j, -1):
+                at = ups[i][at]
+            q_nodes[j] += np.bincount(at, np.full(len(at), share), len(q_nodes[j]))
+    whole = q.sum() + share * (starts[-1] - rows)
+
+    def texts_with(what: np.ndarray, some: np.ndarray, size: int) -> np.ndarray:
+        """In how many of the texts of some tokens each of what is."""
+        return np.bincount(np.unique(doc[some] * size + what[some]) % size, minlength=size) if len(doc) else np.zeros(size, np.int64)
+
+    pairs, where = np.unique(first * rows + then, return_inverse=True)
+    unigram, backoff, mass = np.zeros((starts[-1], 2)), np.ones((rows, 2)), np.zeros((len(pairs), 2))
     for c in (0, 1):
-        backoff[:, c] -= np.minimum(np.bincount(code // rows, share[:, c], rows), 0.9)
-    # words that speak for neither class need no row of their own
-    apart = (unigram[:, 0] != unigram[:, 1]) | (backoff != 1).any(1)
-    apart[[0, *(code // rows), *(code % rows)]] = True
-    place = np.where(apart, np.cumsum(apart) - 1, 0)
-    vocab = _vocabulary({x: int(place[i]) for x, i in vocab.items()}, {x: int(place[i]) for x, i in vocab.stems.items()})
-    code = place[code // rows] * int(apart.sum()) + place[code % rows]
-    order = np.argsort(code)
-    model = Model(vocab, unigram[apart], backoff[apart], code[order], share[order], np.array([0.0, 0.0, 0.0, -1.0]))
+        own = cls == c
+        above, q_above, rest = np.ones(1), np.array([whole]), np.array([share / whole])
+        for k, (stem, at) in enumerate(tree):
+            n, d = discounted(texts_with(at[w - 1], own, len(stem)))
+            total = (n + d).sum()
+            free = d.sum() / total if total else 1.0
+            p = n / max(total, 1) + free * above[ups[k]] * q_nodes[k] / q_above[ups[k]]
+            rest = np.r_[rest * free, p * share / q_nodes[k]]
+            above, q_above = p, q_nodes[k]
+        n, d = discounted(texts_with(w, own, rows))
+        total = (n + d).sum()
+        free = d.sum() / total if total else 1.0
+        last = tree[-1][1]
+        unigram[1:rows, c] = (n / max(total, 1))[1:] + free * above[last] * q[1:] / q_above[last]
+        unigram[np.r_[0, rows : starts[-1]], c] = rest * free
+        some = own[inner]
+        n = np.bincount(np.unique(doc[inner][some] * len(pairs) + where[some]) % max(len(pairs), 1), minlength=len(pairs))
+        after = np.bincount(pairs // rows, n, rows)
+        n, d = discounted(n)
+        mass[:, c] = n / np.maximum(after[pairs // rows], 1)
+        backoff[:, c] = np.where(after > 0, np.bincount(pairs // rows, d, rows) / np.maximum(after, 1), 1.0)
+    told = mass.any(1)  # pairs without mass of their own need no entry
+    model = Model(h[order], [t[0] for t in tree], [np.arange(a, b) for a, b in zip(starts, starts[1:])], unigram.astype(np.float32), backoff.astype(np.float32), pairs[told], mass[told].astype(np.float32), np.array([0.0] * (2 + 2 * len(FAR)) + [-1.0]))
     if len(set(y_[hold])) == 2:
         model.curve = logistic(model.features([t for t, h in zip(texts, hold) if h]), y_[hold])
     return model

@@ -41,6 +41,98 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def toy_texts():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.choice([1, 2, 5, 9, 12])))
+    texts = [" ".join(word() for _ in range(30)) + (" nasty word nastier word" if i % 3 == 0 else "") for i in range(45)]
+    return [t.encode() for t in texts] + [b"", b"one"], [int(i % 3 == 0) for i in range(45)] + [0, 1]
+
+
+def plain_kneser_ney(texts, y):
+    """p(word, before, class) by dictionaries, one formula after the other; before None is a start or unknown word."""
+    hold = np.zeros(len(y), bool)
+    hold[np.random.default_rng(7).permutation(len(y))[: len(y) // 4]] = True
+    docs = [(toxicity.tokens(t), c) for t, c, h in zip(texts, y, hold) if not h]
+    vocab = sorted({w for d, _ in docs for w in d})
+    kinds = {c: {(a, b) for d, k in docs if k == c for a, b in zip(d, d[1:])} for c in (0, 1)}
+    size = {c: max(1, len(kinds[c])) for c in (0, 1)}
+    least = {w: min(sum(b == w for _, b in kinds[c]) * min(size.values()) / size[c] for c in (0, 1)) for w in vocab}
+    taken = {w: min(n, 0.75) for w, n in least.items()}
+    levels = [{w: w[:k] for w in vocab} for k in toxicity.STEMS]
+    shares = 1 + len(vocab) + sum(len(set(v.values())) for v in levels)
+    share = max(sum(taken.values()), 1.0) / shares
+    q = {w: least[w] - taken[w] + share for w in vocab}
+    q_of = []
+    for k, level in enumerate(levels):
+        here = {}
+        for s in set(level.values()):
+            below = [w for w in vocab if level[w] == s]
+            here[s] = sum(q[w] for w in below) + share * sum(len({levels[j][w] for w in below}) for j in range(k, len(levels)))
+        q_of.append(here)
+    whole = sum(q.values()) + share * (shares - len(vocab))
+
+    def count(c, of):
+        n = {}
+        for d, k in docs:
+            if k == c:
+                for x in set(of(d)):
+                    n[x] = n.get(x, 0) + 1
+        return n
+
+    keep = lambda n: n - min(n, 1 + toxicity.DEVIATIONS * n**0.5)
+
+    def word(w, c):
+        """A known word, or an unknown one below its longest known stem."""
+        p, above, frees = 1.0, whole, []
+        for k, level in enumerate([*levels, {x: x for x in vocab}]):
+            n = count(c, lambda d: [level[x] for x in d])
+            total = sum(n.values())
+            frees.append(1 - sum(map(keep, n.values())) / total if total else 1.0)
+        out = p * share / above * np.prod(frees)
+        for k, level in enumerate(levels):
+            n, s = count(c, lambda d: [level[x] for x in d]), w[: toxicity.STEMS[k]]
+            if s not in q_of[k]:
+                continue
+            p = keep(n.get(s, 0)) / max(sum(n.values()), 1) + frees[k] * p * q_of[k][s] / above
+            above = q_of[k][s]
+            out = p * share / above * np.prod(frees[k + 1 :])
+        if w in q:
+            n = count(c, lambda d: d)
+            return keep(n.get(w, 0)) / max(sum(n.values()), 1) + frees[-1] * p * q[w] / above
+        return out
+
+    def both(w, v, c):
+        n = count(c, lambda d: list(zip(d, d[1:])))
+        after = {b: k for (a, b), k in n.items() if a == v}
+        total = sum(after.values())
+        if not total:
+            return word(w, c)
+        return keep(after.get(w, 0)) / total + (1 - sum(map(keep, after.values())) / total) * word(w, c)
+
+    return vocab, both
+
+
+def test_kneser_ney_matches_plain_formulas():
+    texts, y = toy_texts()
+    model = toxicity.train(texts, y)
+    vocab, plain = plain_kneser_ney(texts, y)
+    r = random.Random(1)
+    pairs = [(r.choice([None, *vocab]), r.choice(vocab)) for _ in range(60)] + [(b"nasty", b"word"), (b"word", b"nastier"), (None, b"nastiest"), (None, b"zzz"), (b"word", b"abca")]
+    for v, w in pairs:
+        at = [np.array([0]) if x is None else model.numbers([x]) for x in (v, w)]
+        got = model.probabilities(*at)[0]
+        assert np.allclose(got, [plain(w, v, 0), plain(w, v, 1)], rtol=1e-5), (v, w)
+    assert len(model.pairs) > 0
+
+
+def test_kneser_ney_sums_to_one():
+    for texts, y in (toy_texts(), ([b"a b c d", b"a b", b"c d a b", b"a b"], [0, 1, 0, 1])):
+        model = toxicity.train(texts, y)
+        for v in range(len(model.words) + 1):
+            w = np.arange(len(model.unigram))
+            assert np.allclose(model.probabilities(np.full(len(w), v), w).sum(0), 1, atol=1e-4)
+
+
 def test_quality(spark):
     docs, labels, truth = labelled(spark)
     model = ranking.fit(clashing(docs), labels)
