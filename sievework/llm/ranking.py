@@ -1,9 +1,11 @@
 """Quality by Bradley-Terry pairwise ranking.
 
-A document is described by shares and ratios of its whole text. Each feature enters by itself and as a soft position
-among quantiles of the training sample, so the score need not be monotone in it. Preference pairs set documents
-labelled good over documents labelled poor; weights minimise the logistic loss of the pairs' feature differences, which is the
-likelihood of the Bradley-Terry model. The cut is the score quantile that leaves as large a share as is labelled good.
+A document is described by shares and ratios of its whole text and by its words: the shares of its distinct words that
+fall into each of LEXICAL hash buckets. Each share or ratio enters by itself and as a soft position among quantiles of
+the training sample, so the score need not be monotone in it. Preference pairs set documents labelled good over
+documents labelled poor; weights minimise the logistic loss of the pairs' feature differences, which is the likelihood
+of the Bradley-Terry model. The cut is the quantile of the scores of all labelled documents outside the held-out fold
+that leaves as large a share as is labelled good.
 """
 
 from __future__ import annotations
@@ -13,26 +15,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import arrow_batches
-from sievework.llm.labelled import labelled_sample, remainder
+from sievework.llm.common import FOLD, Scratch, arrow_batches
+from sievework.llm.labelled import labelled_rows, labelled_sample, remainder
 from sievework.llm.toxicity import logistic
 
 PER_CLASS, PAIRS, KNOTS = 3000, 8, 6
+#: Hash buckets of words, and their standard deviation beside 1 of the other features: the smaller, the more they are held to 0.
+LEXICAL, LEXICAL_SCALE = 64, 0.1
 RAISED = bytes(range(65, 91))
 LETTERS = RAISED + bytes(range(97, 123)) + bytes(range(128, 256))
 SYMBOLS = b"#$%&*@^~=+<>{}[]\\_"
 FEATURES = ["log_words", "word_length", "raised", "symbols", "digits", "bars", "cries", "stops", "distinct", "top_word", "short", "log_line", "line_repeat", "word_repeat", "wide", "marks"]
 
 
+def lexical(words) -> list[float]:
+    """Shares of distinct words by hash bucket, A-Z folded."""
+    kinds = {w.translate(FOLD) for w in words}
+    at = np.fromiter((xxhash.xxh32_intdigest(w) % LEXICAL for w in kinds), np.int64, len(kinds))
+    return (np.bincount(at, minlength=LEXICAL) / max(len(kinds), 1)).tolist()
+
+
 def describe(text: bytes) -> list[float]:
-    """The features of one text, whole; all zero for an empty one."""
+    """The features of one text, whole: FEATURES, then LEXICAL of its words; all zero for an empty one."""
     words = text.split()
     n, size = len(words), len(text)
     if not n:
-        return [0.0] * len(FEATURES)
+        return [0.0] * (len(FEATURES) + LEXICAL)
     gone = lambda chars: size - len(text.translate(None, chars))
     letters, raised, counts = gone(LETTERS), gone(RAISED), Counter(words)
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -41,6 +53,7 @@ def describe(text: bytes) -> list[float]:
         np.log1p(n), (size - n + 1) / n, raised / max(letters, 1), gone(SYMBOLS) / size, gone(b"0123456789") / size, text.count(b"|") / n, text.count(b"!") / n, ends / n,
         len(counts) / n**0.8, max(counts.values()) / n, sum(len(w) <= 3 for w in words) / n, np.log1p(n / max(len(lines), 1)), 1 - len(set(lines)) / max(len(lines), 1),
         sum(a == b for a, b in zip(words, words[1:])) / n, sum(text.count(bytes([c])) for c in (195, 197, 206, 208, 228)) / size, (size - letters) / size,
+        *lexical(counts),
     ]
 
 
@@ -53,10 +66,10 @@ class Ranker:
     slope: float
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        """Raw features, centred, and for each knot a smooth step at it."""
-        x = np.nan_to_num(x)
-        steps = [np.tanh((x - k) / self.centre[1]) for k in self.knots]
-        return np.hstack([(x - self.centre[0]) / self.centre[1], *steps])
+        """Raw features, centred, and for each knot a smooth step at it; words enter as they are, centred."""
+        z, f = (np.nan_to_num(x) - self.centre[0]) / self.centre[1], len(FEATURES)
+        steps = [np.tanh((np.nan_to_num(x[:, :f]) - k) / self.centre[1, :f]) for k in self.knots]
+        return np.hstack([z[:, :f], *steps, LEXICAL_SCALE * z[:, f:]])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.expand(x) @ self.weights
@@ -67,18 +80,24 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.raw(x) - self.cut) + shift, -30, 30)))
 
 
+def preferences(good: np.ndarray, poor: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a good and a poor document, pairs of them for each of the larger class."""
+    n, rng = pairs * max(len(good), len(poor)), np.random.default_rng(5)
+    return rng.permutation(np.resize(good, n)), rng.permutation(np.resize(poor, n))
+
+
 def train(x: np.ndarray, y: np.ndarray, good_share: float, pairs: int = PAIRS) -> Ranker:
     """x (rows, features), y 0/1. Each document of the rarer class meets pairs documents of the other."""
     x = np.nan_to_num(x)
-    knots = np.quantile(x, np.linspace(0.05, 0.95, KNOTS), axis=0) if len(x) else np.zeros((KNOTS, len(FEATURES)))
-    centre = np.stack([x.mean(0), x.std(0) + 1e-9]) if len(x) else np.stack([np.zeros(len(FEATURES)), np.ones(len(FEATURES))])
-    model = Ranker(knots, centre, np.zeros(len(FEATURES) * (KNOTS + 1)), 0.0, 1.0)
+    f = len(FEATURES)
+    knots = np.quantile(x[:, :f], np.linspace(0.05, 0.95, KNOTS), axis=0) if len(x) else np.zeros((KNOTS, f))
+    centre = np.stack([x.mean(0), x.std(0) + 1e-9]) if len(x) else np.stack([np.zeros(f + LEXICAL), np.ones(f + LEXICAL)])
+    model = Ranker(knots, centre, np.zeros(f * (KNOTS + 1) + LEXICAL), 0.0, 1.0)
     good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(poor):
         return model
-    z, rng = model.expand(x), np.random.default_rng(5)
-    n = pairs * max(len(good), len(poor))
-    a, b = rng.permutation(np.resize(good, n)), rng.permutation(np.resize(poor, n))
+    z = model.expand(x)
+    a, b = preferences(good, poor, pairs)
     diff = z[a] - z[b]
     w = np.zeros(z.shape[1])
     for _ in range(30):  # Newton steps; every pair has the good document first
@@ -99,9 +118,10 @@ def train(x: np.ndarray, y: np.ndarray, good_share: float, pairs: int = PAIRS) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, held: int = 0, per_class: int = PER_CLASS) -> Ranker:
-    """Ranker from a bounded sample of labelled rows outside the held-out fold; only features come to the driver. With
-    rows of one class, or none, every text has one score."""
-    arrow_batches(docs.sparkSession)
+    """Ranker from a bounded sample of labelled rows outside the held-out fold; only features come to the driver. The
+    cut is taken over all of the labelled rows outside it. With rows of one class, or none, every text has one score."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
     sample, counts = labelled_sample(docs, labels, label, mod, held, per_class)
 
     def run(batches):
@@ -111,8 +131,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5
 
     got = sample.mapInArrow(run, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, f array<double>").toPandas().sort_values("doc_id", kind="stable")
     total = counts.get(0, 0) + counts.get(1, 0)
-    x = np.array(got["f"].tolist(), float).reshape(-1, len(FEATURES))
-    return train(x, got["y"].to_numpy(int), counts.get(1, 0) / total if total else 0.5)
+    good = counts.get(1, 0) / total if total else 0.5
+    x = np.array(got["f"].tolist(), float).reshape(-1, len(FEATURES) + LEXICAL)
+    model = train(x, got["y"].to_numpy(int), good)
+    if model.weights.any():
+        shipped = spark.sparkContext.broadcast(model)
+
+        def rate(batches):
+            for b in batches:
+                x = np.array([describe(t or b"") for t in b.column(0).cast(pa.binary()).to_pylist()], float).reshape(-1, len(FEATURES) + LEXICAL)
+                yield pa.RecordBatch.from_arrays([pa.array(shipped.value.raw(x), pa.float64())], ["raw"])
+
+        rated = Scratch(spark, "ranking").keep(labelled_rows(docs, labels, label, mod, held).select("text").mapInArrow(rate, "raw double"), "rated")
+        model.cut = cut_of(rated, good)
+    return model
+
+
+def cut_of(rated: DataFrame, good: float) -> float:
+    """The middle between the neighbours of the quantile that leaves the share good of rated (raw) above it."""
+    at = rated.agg(F.percentile_approx("raw", 1 - good, 1_000_000)).first()[0]
+    low, high = rated.agg(F.max(F.when(F.col("raw") <= at, F.col("raw"))), F.min(F.when(F.col("raw") > at, F.col("raw")))).first()
+    return float(low if high is None else (low + high) / 2)
 
 
 def score(docs: DataFrame, model: Ranker, mod: int = 5, held: int = 0, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +162,7 @@ def score(docs: DataFrame, model: Ranker, mod: int = 5, held: int = 0, threshold
 
     def run(batches):
         for b in batches:
-            x = np.array([describe(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array([describe(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()], float).reshape(-1, len(FEATURES) + LEXICAL)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shipped.value.score(x, threshold), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

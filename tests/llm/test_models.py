@@ -142,6 +142,39 @@ def test_quality(spark):
     assert ranking.score(odd, model).count() == odd.count()
 
 
+def test_ranking_solves_its_pair_loss_and_cuts_at_the_quantile(spark):
+    docs, labels, truth = labelled(spark)
+    model = ranking.fit(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0]
+    x, y = np.array([ranking.describe(t.encode()) for _, t in rows]), np.array([truth[i][1] for i, _ in rows])
+    z = model.expand(x)
+    # the loss sum(log(1 + exp(-w (good - poor)))) + |w|^2 / 2 of the pairs has no slope at the weights
+    a, b = ranking.preferences(np.flatnonzero(y == 1), np.flatnonzero(y == 0), ranking.PAIRS)
+    slope = -sum((z[i] - z[j]) / (1 + np.exp((z[i] - z[j]) @ model.weights)) for i, j in zip(a, b)) + model.weights
+    assert np.abs(slope).max() < 1e-3 * len(a) ** 0.5
+    raw = np.sort(z @ model.weights)
+    cut = [(raw[k] + raw[k + 1]) / 2 for k in range(len(raw) - 1)]
+    at = int(np.argmin(np.abs(np.array(cut) - model.cut)))
+    assert np.isclose(cut[at], model.cut) and abs(at + 1 - (y == 0).sum()) <= 1
+    scores = {r.doc_id: r.score for r in ranking.score(docs, model).collect()}
+    want = dict(zip((i for i, _ in rows), model.score(x, 0.3)))
+    assert all(np.isclose(scores[i], s) for i, s in want.items())
+
+
+def test_words_enter_the_ranking(spark):
+    """Texts that differ in nothing but which words they use."""
+    r = random.Random(8)
+    words_of = (["amber", "birch", "cedar", "dunes"], ["ember", "baits", "cider", "danes"])
+    docs, labels = [], []
+    for i in range(300):
+        good = i % 2
+        docs.append((i, " ".join(r.choice(words_of[good]) for _ in range(60))))
+        labels += [(i, 0, good), (i, 0, good)]
+    docs, labels = spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL)
+    rows = ranking.score(docs, ranking.fit(docs, labels)).collect()
+    assert np.mean([row.predicted == row.doc_id % 2 for row in rows if row.held_out]) > 0.95
+
+
 def test_without_labels(spark):
     docs, labels, _ = labelled(spark, 20)
     none = labels.limit(0)
