@@ -1,7 +1,7 @@
 """URL filters by rules and by empirical-Bayes host reputation, with DataFrame functions only.
 
-Labelled page outcomes are counted by host. A host's rate has a beta prior around its registered domain's, that one
-around its suffix's, that one around the overall rate; how strongly each level holds to the one above comes from the
+Labelled page outcomes are counted by host, without port and user. A host's rate has a beta prior around its registered
+domain's, that one around its suffix's, that one around the overall rate; how strongly each level holds to the one above comes from the
 data, by the method of moments for beta-binomial counts. A page passes if a lower bound of its host's posterior rate
 reaches a threshold. Rules come first; the longest that fits decides.
 """
@@ -16,6 +16,10 @@ from sievework.llm.common import Scratch, fold, small
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 Z, LEAST_RATE = 1.64, 0.75
 HOSTS = 1_000_000
+#: Labels that form a public suffix with a country's two letters, as in co.uk: a rule of thumb, not the whole public list.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "govt", "gv", "id", "mil", "ne", "net", "nom", "or", "org", "sch")
+TWO = rf"(?:^|\.)(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"
+ADDRESS = r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$"
 
 
 def host_of(url: Column) -> Column:
@@ -35,12 +39,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def name_of(host: Column) -> Column:
+    """The host without user, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(?::[0-9]*)?$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix_of(name: Column) -> Column:
+    """The last label, or the last two where they are a country's second level; one suffix for all addresses."""
+    return F.when(name.rlike(ADDRESS), "(address)").when(name.rlike(TWO), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(name: Column) -> Column:
+    """The suffix and one label more; an address is its own domain."""
+    return F.when(name.rlike(ADDRESS), name).when(name.rlike(TWO), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def strength(groups: DataFrame) -> float:
@@ -53,26 +64,23 @@ def strength(groups: DataFrame) -> float:
 
 
 def host_rates(pages: DataFrame, outcomes: DataFrame, scratch: Scratch) -> DataFrame:
-    """pages (page_id, host), outcomes (page_id, good) -> host, n, k, a, b: posterior beta of every host in pages."""
+    """pages (page_id, name), outcomes (page_id, good) -> name, n, k, a, b: posterior beta of every host in pages."""
     good = outcomes.where("page_id is not null and good is not null").groupBy(F.col("page_id").alias("gid")).agg(F.max(F.col("good").cast("int")).alias("good"))
     seen = pages.join(good, pages.page_id == good.gid, "left")
-    hosts = scratch.keep(seen.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("k")), "hosts")
-    up = lambda df, f, c: df.groupBy(f(F.col(c)).alias("up")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    hosts = scratch.keep(seen.groupBy("name").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("k")), "hosts")
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-    mean = (total["k"] + 1) / (total["n"] + 2)
-    level, parent = None, None
-    for f in (suffix_of, domain_of, lambda c: c):
-        own = hosts.withColumnRenamed("host", "up") if f(F.col("host"))._jc.toString() == "host" else up(hosts, f, "host")
-        if parent is None:
-            own = own.withColumn("mu", F.lit(mean))
+    name, level, above = F.col("name"), None, None
+    for own, up in ((suffix_of(name), F.lit("")), (domain_of(name), suffix_of(name)), (name, domain_of(name))):
+        rows = hosts.groupBy(own.alias("at"), up.alias("up")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        if above is None:
+            rows = rows.withColumn("mu", F.lit((total["k"] + 1) / (total["n"] + 2)))
         else:
-            above, g = parent
-            own = own.join(small(above, HOSTS), g(F.col("up")) == F.col("above")).drop("above")
-        own = scratch.keep(own, "level")
-        c = strength(own)
-        level = own.withColumns({"a": F.col("k") + c * F.col("mu"), "b": F.col("n") - F.col("k") + c * (1 - F.col("mu"))})
-        parent = level.select(F.col("up").alias("above"), (F.col("a") / (F.col("a") + F.col("b"))).alias("mu")), f
-    return level.select(F.col("up").alias("host"), "n", "k", "a", "b")
+            rows = rows.join(small(above, HOSTS), F.col("up") == F.col("above")).drop("above")
+        rows = scratch.keep(rows, "level")
+        c = strength(rows)
+        level = rows.withColumns({"a": F.col("k") + c * F.col("mu"), "b": F.col("n") - F.col("k") + c * (1 - F.col("mu"))})
+        above = level.select(F.col("at").alias("above"), (F.col("a") / (F.col("a") + F.col("b"))).alias("mu"))
+    return level.select(F.col("at").alias("name"), "n", "k", "a", "b")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_rate: float = LEAST_RATE, z: float = Z) -> DataFrame:
@@ -81,16 +89,17 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_rate: float
     outcomes (page_id, good 0 or 1); of several for a page the greatest counts, null ones don't. A url that is null or
     has no :// has empty host and path and shares the reputation of its like. Hosts without outcomes have their
     domain's rate, domains and suffixes alike; without any outcomes the rate is one half. Repeated rows are judged
-    alike and counted each. Other columns are ignored."""
+    alike and counted each. A port or user doesn't make another host for the reputation; addresses have no domain above
+    them but all addresses. Other columns are ignored."""
     scratch = Scratch(pages.sparkSession, "reputation")
     url = F.col("url").cast("string")
     pages = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    rates = scratch.keep(host_rates(pages.select("page_id", "host"), outcomes, scratch), "rates")
+    rates = scratch.keep(host_rates(pages.select("page_id", name_of(F.col("host")).alias("name")), outcomes, scratch), "rates")
     mean = F.col("a") / (F.col("a") + F.col("b"))
     bound = mean - z * F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    rates = rates.select(F.col("host").alias("rhost"), F.col("n").alias("host_labels"), F.col("k").alias("host_good"), F.when(bound >= least_rate, "allow").otherwise("block").alias("own"))
+    rates = rates.select(F.col("name").alias("rname"), F.col("n").alias("host_labels"), F.col("k").alias("host_good"), F.when(bound >= least_rate, "allow").otherwise("block").alias("own"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = pages.join(small(rates, HOSTS), F.col("host") == F.col("rhost"))
+    out = pages.join(small(rates, HOSTS), name_of(F.col("host")) == F.col("rname"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("own")).alias("verdict"), "host_labels", "host_good")
 
 
@@ -99,8 +108,10 @@ WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 g AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, regexp_extract(host, '[^.]*\.?[^.]*$') AS dom, regexp_extract(host, '[^.]*$') AS suf, count(good) AS n, coalesce(sum(good), 0) AS k
-      FROM p LEFT JOIN g ON p.page_id = g.doc_id GROUP BY 1, 2, 3),
+q AS (SELECT page_id, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(?::[0-9]*)?$', '') AS name FROM p),
+h AS (SELECT name AS host, CASE WHEN regexp_matches(name, '{address}') THEN name ELSE regexp_extract(name, CASE WHEN regexp_matches(name, '{two}') THEN '(?:[^.]*\.)?[^.]*\.[^.]*$' ELSE '(?:[^.]*\.)?[^.]*$' END) END AS dom,
+      CASE WHEN regexp_matches(name, '{address}') THEN '(address)' ELSE regexp_extract(name, CASE WHEN regexp_matches(name, '{two}') THEN '[^.]*\.[^.]*$' ELSE '[^.]*$' END) END AS suf, count(good) AS n, coalesce(sum(good), 0) AS k
+      FROM q LEFT JOIN g ON q.page_id = g.doc_id GROUP BY 1, 2, 3),
 t AS (SELECT (sum(k) + 1) / (sum(n) + 2)::DOUBLE AS mu FROM h),
 s0 AS (SELECT suf, sum(n) AS n, sum(k) AS k, any_value(t.mu) AS mu FROM h, t GROUP BY suf),
 sc AS (SELECT 1 / least(greatest(coalesce((sum(n * (k / n - mu) * (k / n - mu)) - sum(mu * (1 - mu))) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.5), 0.001), 0.9) - 1 AS c FROM s0 WHERE n > 0),
@@ -118,6 +129,6 @@ r AS (SELECT p.*, v.own, CAST(v.n AS BIGINT) AS host_labels, CAST(v.k AS BIGINT)
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM p JOIN v USING (host))
+  FROM p JOIN v ON v.host = regexp_replace(regexp_replace(p.host, '^.*@', ''), '\.?(?::[0-9]*)?$', ''))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE own END AS verdict, host_labels, host_good FROM r
-""".replace("{z}", str(Z)).replace("{least}", str(LEAST_RATE))
+""".replace("{address}", ADDRESS).replace("{two}", TWO).replace("{z}", str(Z)).replace("{least}", str(LEAST_RATE))
