@@ -7,6 +7,7 @@ from helpers import clashing
 from pyspark.sql import functions as F
 
 from sievework.llm import impact_index, reputation, warc
+from sievework.llm.common import Scratch
 
 PAGE = "page_id long, url string, html string"
 
@@ -61,16 +62,30 @@ def test_rules_and_reputation(spark):
     assert reputation.judge(empty, outcomes).collect() == [] and reputation.judge(spark.createDataFrame(rows, "page_id long, url string"), outcomes.limit(0)).count() == len(rows)
 
 
+def test_domains_and_suffixes(spark):
+    want = {"a.b.co.uk:8080": ("a.b.co.uk", "b.co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1", "10.0.0.1", "(address)"), "[::1]:80": ("[::1]", "[::1]", "(address)"), "u@x.example.org.": ("x.example.org", "example.org", "org"), "co.uk": ("co.uk", "co.uk", "co.uk"), "localhost": ("localhost", "localhost", "localhost"), "shop.com.au": ("shop.com.au", "shop.com.au", "com.au"), "a.com.example": ("a.com.example", "com.example", "example"), "": ("", "", "")}
+    name = reputation.name_of(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", name, reputation.domain_of(name), reputation.suffix_of(name)).collect()
+    assert {r[0]: tuple(r[1:]) for r in rows} == want
+
+
+def test_hosts_under_one_suffix_are_apart(spark):
+    """co.uk is no domain: what is known of bad.co.uk's pages doesn't judge good.co.uk's hosts; ports make no hosts."""
+    pages = [(i, f"https://h{i % 3}.{'bad' if i % 2 else 'good'}.co.uk:{i}/p") for i in range(400)] + [(900, "http://new.good.co.uk/"), (901, "http://new.bad.co.uk/")]
+    outcomes = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "page_id long, good int")
+    got = {r.page_id: r for r in reputation.judge(spark.createDataFrame(pages, "page_id long, url string"), outcomes).collect()}
+    assert got[0].verdict == "allow" and got[1].verdict == "block" and got[0].host_labels > 60 and got[901].verdict == "block"
+    rates = reputation.host_rates(spark.createDataFrame([(i, reputation_name) for i, reputation_name in ((0, "new.good.co.uk"), (1, "x.bad.co.uk"), (2, "y.good.co.uk"))], "page_id long, name string"), outcomes, Scratch(spark, "t"))
+    mean = {r.name: r.a / (r.a + r.b) for r in rates.collect()}
+    assert mean["new.good.co.uk"] > mean["x.bad.co.uk"]
+
+
 def brute(rows, k=5, every=50):
-    vs = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = tuple(int(np.floor(256 * float(x))) for x in v)
-            vs[i] = min(vs.get(i, q), q)
+    vs = [(i, tuple(int(np.floor(256 * float(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in vs.items():
+    for at, (i, q) in enumerate(vs):
         if i % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in vs.items() if j != i)[:k]
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for n, (j, v) in enumerate(vs) if n != at)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -79,7 +94,7 @@ def test_search_matches_brute_force(spark):
     r = random.Random(2)
     rows = [(i, [float(np.float32(r.gauss(0, 0.2))) for _ in range(16)]) for i in range(400)]
     rows += [(1000 + i, list(rows[3][1])) for i in range(40)]
-    rows += [(50, list(rows[0][1])), (None, rows[0][1]), (2000, None), (2001, [None] * 16), (2002, [float("nan")] * 16), (2003, [float("inf")] * 16), (2050, []), (2100, [0.5] * 3)]
+    rows += [(50, list(rows[0][1])), (None, rows[0][1]), (2000, None), (2001, [None] * 16), (2002, [float("nan")] * 16), (2003, [float("inf")] * 16), (2050, []), (2100, [0.5] * 3), (7, list(rows[7][1])), (1003, list(rows[9][1]))]
     df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert sorted(tuple(x) for x in impact_index.search(df).collect()) == brute(rows)
     assert impact_index.search(df.limit(0)).collect() == []
@@ -89,10 +104,10 @@ def test_search_matches_brute_force(spark):
 def test_search_stops_early_on_proof():
     r = np.random.default_rng(1)
     v = np.floor(r.normal(size=(5000, 64)) * 32).astype(np.int64)
-    b = impact_index.Block(np.arange(5000), v)
+    b = impact_index.Block.unpacked(impact_index.Block(np.arange(5000) + 10**6, np.arange(5000), v).packed())
     stops = []
     for q in range(0, 5000, 500):
-        ids, score, stop = b.top(v[q], q, 5)
+        ids, score, stop = b.top(v[q], q + 10**6, 5)
         want = np.lexsort((np.arange(5000), -np.where(np.arange(5000) == q, -(10**9), v @ v[q])))[:5]
         assert ids.tolist() == want.tolist()
         stops.append(stop)
