@@ -122,13 +122,13 @@ d1 AS (SELECT dom, (k + c * mu) / (n + c) AS mean FROM d0, dc),
 h0 AS (SELECT host, n, k, mean AS mu FROM h JOIN d1 USING (dom)),
 hc AS (SELECT 1 / least(greatest(coalesce((sum(n * (k / n - mu) * (k / n - mu)) - sum(mu * (1 - mu))) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.5), 0.001), 0.9) - 1 AS c FROM h0 WHERE n > 0),
 h1 AS (SELECT host, n, k, (k + c * mu) / (n + c) AS m, n + c AS w FROM h0, hc),
-v AS (SELECT host, n, k, CASE WHEN m - {z} * sqrt(m * (1 - m) / (w + 1)) >= {least} THEN 'allow' ELSE 'block' END AS own FROM h1),
+v AS (SELECT host AS hname, n, k, CASE WHEN m - {z} * sqrt(m * (1 - m) / (w + 1)) >= {least} THEN 'allow' ELSE 'block' END AS own FROM h1),
 r AS (SELECT p.*, v.own, CAST(v.n AS BIGINT) AS host_labels, CAST(v.k AS BIGINT) AS host_good, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM p JOIN v ON v.host = regexp_replace(regexp_replace(p.host, '^.*@', ''), '\.?(?::[0-9]*)?$', ''))
+  FROM p JOIN v ON hname = regexp_replace(regexp_replace(p.host, '^.*@', ''), '\.?(?::[0-9]*)?$', ''))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE own END AS verdict, host_labels, host_good FROM r
 """.replace("{address}", ADDRESS).replace("{two}", TWO).replace("{z}", str(Z)).replace("{least}", str(LEAST_RATE))
