@@ -19,11 +19,28 @@ def best_two(scored: DataFrame, key: str, value: str, score: str) -> DataFrame:
     return df.select(key, value, score, (F.col(score) - F.coalesce("_next", F.lit(0.0))).alias("margin"))
 
 
-def name_candidates(rules: DataFrame, items: DataFrame, max_df: float = 0.2) -> DataFrame:
-    """rule_id, item, score by the Jaccard index of name tokens. Pairs come from shared tokens, not from a cross join;
-    sizes of both sides ride along."""
+def rarest(sets: DataFrame, key: str, tokens: str, df: DataFrame, least: float) -> DataFrame:
+    """key, t: the rarest tokens of each set, so many that a set with a Jaccard index of least or more to it shares one
+    of them. df (t, df) holds each token's frequency; equally frequent ones are taken in the order of their text."""
+    one = sets.select(key, F.explode(tokens).alias("t"), F.size(tokens).alias("n")).join(df, "t", "left")
+    kept = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1
+    rank = F.row_number().over(W.partitionBy(key).orderBy("df", "t"))
+    return one.withColumn("_r", rank).where(F.col("_r") <= kept).select(key, "t")
+
+
+def name_candidates(rules: DataFrame, items: DataFrame, least: float = 0.0) -> DataFrame:
+    """rule_id, item, score by the Jaccard index of name tokens, of at least least, for (rule_id, tokens), (id, tokens).
+    With least above 0 pairs meet on the rarest tokens of either side alone, which any such pair shares, and are then
+    compared; at 0 every shared token counts."""
+    i = items.select(F.col("id").alias("item"), F.col("tokens").alias("itokens"))
+    if least > 0:
+        every = rules.select(F.explode("tokens").alias("t")).union(i.select(F.explode("itokens").alias("t")))
+        df = every.groupBy("t").agg(F.count("*").alias("df"))
+        met = rarest(rules, "rule_id", "tokens", df, least).join(rarest(i, "item", "itokens", df, least), "t").select("rule_id", "item").distinct()
+        both = met.join(rules.select("rule_id", "tokens"), "rule_id").join(i, "item")
+        return both.select("rule_id", "item", jaccard(F.col("tokens"), F.col("itokens")).alias("score")).where(F.col("score") >= least)
     r = rules.select("rule_id", F.explode("tokens").alias("t"), F.size("tokens").alias("a"))
-    i = items.select(F.col("id").alias("item"), F.explode("tokens").alias("t"), F.size("tokens").alias("b"))
+    i = i.select("item", F.explode("itokens").alias("t"), F.size("itokens").alias("b"))
     both = r.join(i, "t").groupBy("rule_id", "item", "a", "b").agg(F.count("*").alias("c"))
     return both.select("rule_id", "item", (F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias("score"))
 
@@ -35,8 +52,9 @@ def map_candidates(rules: DataFrame, items: DataFrame) -> DataFrame:
     stay below REVIEW. Letters are compared folded, as in name_tokens."""
     has = set(items.columns)
     tokens = name_tokens(F.col("title"))
-    pairs = name_candidates(rules.select("rule_id", tokens.alias("tokens")), items.select("id", name_tokens(F.col("name")).alias("tokens")))
-    if not has & {"keywords", "body"} and not ("scene" in has and "scene" in rules.columns):
+    plain = not has & {"keywords", "body"} and not ("scene" in has and "scene" in rules.columns)
+    pairs = name_candidates(rules.select("rule_id", tokens.alias("tokens")), items.select("id", name_tokens(F.col("name")).alias("tokens")), REVIEW if plain else 0.0)
+    if plain:  # what is below REVIEW is never proposed, and too far from an accepted one to make it doubtful
         return pairs
     if "keywords" in has:
         words = items.select(F.col("id").alias("item"), F.explode("keywords").alias("k")).where("k <> ''")
@@ -81,7 +99,7 @@ def match_findings(findings: DataFrame, items: DataFrame, mapping: DataFrame, sa
     it = items.select("id", F.col("name").alias("iname"), norm_id(F.col("id")).alias("nid"))
     by_id = f.join(it, norm_id(F.col("rule_id")) == F.col("nid"), "left").withColumn("sim", jaccard(name_tokens(F.col("name")), name_tokens(F.col("iname"))))
     by_id = by_id.groupBy("rule_id", "name").agg(F.first("mapped").alias("mapped"), F.max_by(F.when(F.col("sim") >= same, F.col("id")), F.coalesce("sim", F.lit(0.0))).alias("near"))
-    cand = name_candidates(f.select("rule_id", name_tokens(F.col("name")).alias("tokens")), items.select("id", name_tokens(F.col("name")).alias("tokens")))
+    cand = name_candidates(f.select("rule_id", name_tokens(F.col("name")).alias("tokens")), items.select("id", name_tokens(F.col("name")).alias("tokens")), any_)
     best = best_two(cand.where(F.col("score") >= any_), "rule_id", "item", "score").select(F.col("rule_id").alias("_b"), F.col("item").alias("best"))
     return by_id.join(best, F.col("rule_id") == F.col("_b"), "left").select("rule_id", "name", F.coalesce("mapped", "near", "best").alias("item"))
 

@@ -82,6 +82,13 @@ def keyword_scores(texts: DataFrame, key: str, text: str, domains: dict[str, lis
     return texts.select(key, rows.alias("r")).select(key, "r.domain", "r.score").where("score > 0")
 
 
+def keyword_counts(texts: DataFrame, key: str, text: str, domains: dict[str, list[str]]) -> DataFrame:
+    """key, domain, hits: how many of a domain's keywords the text holds."""
+    low = F.lower(F.col(text))
+    counted = [F.struct(F.lit(d).alias("domain"), sum((F.when(low.contains(w), 1).otherwise(0) for w in ws), F.lit(0)).alias("hits")) for d, ws in sorted(domains.items())]
+    return texts.select(key, F.explode(F.array(*counted)).alias("r")).select(key, "r.domain", "r.hits").where("hits > 0")
+
+
 def route(scores: DataFrame, key: str, all_keys: DataFrame, core: int = 8) -> DataFrame:
     """Best domain of each key with its outcome: no_match, ambiguous (a tie), core_hit, or weak_match."""
     w = W.partitionBy(key).orderBy(F.desc("score"), "domain")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievework.functions.comments import strip_comments
 from sievework.functions.text import glob_regex, snippet
-from sievework.sources.corpus import lines
 
 PRAGMA = r"audit[^\n]*ignore"
 
@@ -20,7 +20,8 @@ class Rule:
     """A rule of one of the forms L (line), W (line with a guard in a window), F (whole text).
 
     pattern must hit; absent and present, where given, must not and must hit in the window of win lines around the hit
-    (or, with win 0, anywhere in the file). first_only keeps a file's first hit. langs empty: any language."""
+    (or, with win 0, anywhere in the file). first_only keeps a file's first hit; every, on form F, takes all hits and not the first alone. langs empty: any
+    language."""
 
     rule_id: str
     level: str
@@ -36,6 +37,7 @@ class Rule:
     cwe: tuple[str, ...] | None = None
     scene: str = ""
     paths: tuple[str, ...] = field(default=())
+    every: bool = False
 
 
 def applies(rule: Rule, lang: Column, path: Column | None = None) -> Column:
@@ -45,19 +47,62 @@ def applies(rule: Rule, lang: Column, path: Column | None = None) -> Column:
     return ok
 
 
+#: Languages whose gates are read without comments while lines are hit as they stand; in all others comments are
+#: blanked first where scan() is told to.
+RAW_LINES = ("rust", "go", "java", "cpp")
+
+
+def without_comments(c: Column) -> Column:
+    """Text without block and line comments, for gates; strings aren't looked at."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
+
+
+def exempt_lines(text: Column, pragma: str | None) -> Column:
+    """Array of (line, exempt) of a text: a line is exempt if it or the one before holds the pragma."""
+    cut = F.split(text, "\n")
+    if not pragma:
+        return F.transform(cut, lambda x: F.struct(x.alias("line"), F.lit(False).alias("exempt")))
+    told = F.transform(cut, lambda x, i: F.struct(x.alias("line"), (x.rlike(pragma) | F.coalesce(F.get(cut, i - 1).rlike(pragma), F.lit(False))).alias("exempt")))
+    return F.when(text.rlike(pragma), told).otherwise(F.transform(cut, lambda x: F.struct(x.alias("line"), F.lit(False).alias("exempt"))))
+
+
+def near(ls: DataFrame, key: list[str], pattern: str, before: int = 3, after: int = 1) -> DataFrame:
+    """Adds seen: the pattern occurs on one of the before lines above a line, on it, or on the after lines below."""
+    return ls.withColumn("seen", F.max(F.col("line").rlike(pattern)).over(W.partitionBy(*key).orderBy("line_no").rowsBetween(-before, after)))
+
+
+def whole_matches(text: Column, pattern: str) -> Column:
+    """Array of (line_no, hit) of every match of a pattern in a text; the pattern must not match nothing."""
+    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda b, h: F.struct(newlines(b).alias("b"), newlines(h).alias("h"), h.alias("hit")))
+    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<line_no:int,hit:string>>").alias("out"))
+    add = lambda a, x: F.struct((a.at + x.b + x.h).alias("at"), F.concat(a.out, F.array(F.struct((a.at + x.b).alias("line_no"), x.hit.alias("hit")))).alias("out"))
+    return F.aggregate(steps, empty, add, lambda a: a.out)
+
+
 def guard_frame(key: list[str], win: int):
     """Lines n - win + 1 to n + win around line n."""
     return W.partitionBy(*key).orderBy("line_no").rowsBetween(-(win - 1), win)
 
 
-def scan(files: DataFrame, rules: list[Rule], key: list[str], lang: str = "lang", text: str = "text", pragma: str | None = PRAGMA) -> DataFrame:
+def scan(files: DataFrame, rules: list[Rule], key: list[str], lang: str = "lang", text: str = "text", pragma: str | None = PRAGMA, blank: bool = False) -> DataFrame:
     """Findings (rule_id, level, key..., line_no, snippet) of all rules in one pass over files.
 
     Each rule is one predicate; a line's hits come out of one array, so the lines are read once whatever the number of
     rules. Window guards share one exchange by file, and only rules that have one take part in it. A line is exempt
     if it or the one before holds the pragma. Whole-text rules report the line of their first hit. Null texts give
-    nothing; a rule without a language list applies to files whose language is null as well."""
+    nothing; a rule without a language list applies to files whose language is null as well.
+
+    In the languages of RAW_LINES gates are read without comments, while lines count as they stand. With blank comments
+    of all other files are blanked first (an Arrow UDF), except for the pragma."""
     found = []
+    gated = F.when(F.col(lang).isin(*RAW_LINES), without_comments(F.col(text))).otherwise(F.col(text))
+    marked = F.col(text)
+    if blank:
+        raw = files.where(F.col(lang).isin(*RAW_LINES) | F.col(lang).isNull()).withColumn("_marked", F.col(text))
+        rest = files.where(~F.col(lang).isin(*RAW_LINES)).withColumn("_marked", F.col(text))
+        files, marked = raw.unionByName(rest.withColumn(text, strip_comments(F.col(text), F.col(lang)))), F.col("_marked")
     line_rules = [r for r in rules if r.form in ("L", "W")]
     whole = [r for r in rules if r.form == "F"]
     if line_rules:
@@ -66,13 +111,17 @@ def scan(files: DataFrame, rules: list[Rule], key: list[str], lang: str = "lang"
             for kind, p in (("absent", r.absent), ("present", r.present)):
                 if p and not r.win:
                     gates[f"g{len(gates)}"] = (r.rule_id, kind, p)
-        cols = [F.col(text).rlike(p).alias(g) for g, (_, _, p) in gates.items()]
-        ls = lines(files.select(*key, F.col(lang).alias("_lang"), F.col(text).alias("_text"), *cols), [*key, "_lang", *gates], "_text")
+        cols = [gated.rlike(p).alias(g) for g, (_, _, p) in gates.items()]
+        if blank and pragma:  # pragmas stand in comments, so they are looked for in the text as it was
+            told = F.transform(exempt_lines(marked, pragma), lambda x: x.exempt)
+            cut = F.zip_with(F.split(F.col(text), "\n"), told, lambda a, b: F.struct(a.alias("line"), b.alias("exempt")))
+        else:
+            cut = exempt_lines(F.col(text), pragma)
+        ls = files.select(*key, F.col(lang).alias("_lang"), *cols, F.posexplode(cut).alias("_pos", "_l"))
+        ls = ls.select(*key, "_lang", *gates, (F.col("_pos") + 1).alias("line_no"), F.col("_l.line").alias("line"), F.col("_l.exempt").alias("_exempt"))
         windows = {(r.win, p): f"w{i}" for i, (r, p) in enumerate((r, p) for r in line_rules if r.win for p in (r.absent, r.present) if p)}
         for (win, p), name in windows.items():
             ls = ls.withColumn(name, F.max(F.col("line").rlike(p)).over(guard_frame(key, win)))
-        if pragma:
-            ls = ls.withColumn("_exempt", F.max(F.col("line").rlike(pragma)).over(W.partitionBy(*key).orderBy("line_no").rowsBetween(-1, 0))) if windows else ls.withColumn("_exempt", F.col("line").rlike(pragma))
 
         def hit(r: Rule) -> Column:
             ok = applies(r, F.col("_lang"), F.col(key[0])) & F.col("line").rlike(r.pattern)
@@ -82,7 +131,7 @@ def scan(files: DataFrame, rules: list[Rule], key: list[str], lang: str = "lang"
                     ok = ok & (~seen if kind == "absent" else seen)
             return F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.first_only).alias("once")))
 
-        hits = ls.where(~F.col("_exempt")) if pragma else ls
+        hits = ls.where(~F.col("_exempt"))
         hits = hits.select(*key, "line_no", "line", F.explode(F.array_compact(F.array(*map(hit, line_rules)))).alias("r"))
         hits = hits.select("r.rule_id", "r.level", *key, "line_no", snippet(F.col("line")).alias("snippet"), "r.once")
         if any(r.first_only for r in line_rules):
@@ -95,12 +144,16 @@ def scan(files: DataFrame, rules: list[Rule], key: list[str], lang: str = "lang"
             ok = applies(r, F.col(lang), F.col(key[0])) & F.col(text).rlike(r.pattern)
             for kind, p in (("absent", r.absent), ("present", r.present)):
                 if p:
-                    ok = ok & (~F.col(text).rlike(p) if kind == "absent" else F.col(text).rlike(p))
+                    ok = ok & (~gated.rlike(p) if kind == "absent" else gated.rlike(p))
+            told = [F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level")]
+            if r.every:
+                return F.when(ok, F.transform(whole_matches(F.col(text), r.pattern), lambda m: F.struct(*told, m.line_no.alias("line_no"), snippet(m.hit).alias("snippet")))).otherwise(none)
             before = F.substring(F.col(text), F.lit(1), F.regexp_instr(F.col(text), F.lit(r.pattern)) - 1)
             hit = F.regexp_substr(F.col(text), F.lit(r.pattern))
-            return F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), (F.regexp_count(before, F.lit("\n")) + 1).alias("line_no"), snippet(hit).alias("snippet")))
+            return F.when(ok, F.array(F.struct(*told, (F.regexp_count(before, F.lit("\n")) + 1).alias("line_no"), snippet(hit).alias("snippet")))).otherwise(none)
 
-        ws = files.select(*key, F.explode(F.array_compact(F.array(*map(at, whole)))).alias("r"))
+        none = F.array().cast("array<struct<rule_id:string,level:string,line_no:int,snippet:string>>")
+        ws = files.select(*key, F.explode(F.concat(*map(at, whole))).alias("r"))
         found.append(ws.select("r.rule_id", "r.level", *key, "r.line_no", "r.snippet"))
     return reduce(DataFrame.unionByName, found)
 

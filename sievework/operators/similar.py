@@ -32,9 +32,10 @@ def classify(drafts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return drafts.join(best, F.col(key) == F.col("a"), "left").select(key, kind.alias("kind"))
 
 
-def frequent_words(tokens: DataFrame, doc: str, word: str, share: float = 0.20, floor: int = 6) -> DataFrame:
-    """Stop words: in max(floor, int(share * documents)) documents or more."""
-    n = tokens.select(doc).distinct().count()
+def frequent_words(tokens: DataFrame, doc: str, word: str, share: float = 0.20, floor: int = 6, documents: int | None = None) -> DataFrame:
+    """Stop words: in max(floor, int(share * documents)) documents or more. Their number is counted from tokens unless
+    it is given, which saves a pass over them."""
+    n = tokens.select(doc).distinct().count() if documents is None else documents
     return tokens.groupBy(word).agg(F.countDistinct(doc).alias("df")).where(F.col("df") >= max(floor, int(share * n)))
 
 

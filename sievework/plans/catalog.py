@@ -40,8 +40,9 @@ DOC_RULES = [r for r in RULES if r.rule_id.startswith("DOC-")]
 HITS = rf"""
 WITH {LINES},
 g AS (SELECT doc_id, regexp_matches(text, '\|-{{3}}') AS gate FROM documents),
-h AS (SELECT l.*, r.rule_id, r.level FROM l JOIN g USING (doc_id), (VALUES ('DOC-01','P2'), ('DOC-02','P1'), ('DOC-03','P2'), ('DOC-04','P2')) r(rule_id, level)
-      WHERE NOT regexp_matches(line, 'audit.*ignore') AND CASE rule_id WHEN 'DOC-01' THEN regexp_matches(line, '(TODO|FIXME|XXX)[: ]')
+m AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no), '') AS above FROM l),
+h AS (SELECT m.*, r.rule_id, r.level FROM m JOIN g USING (doc_id), (VALUES ('DOC-01','P2'), ('DOC-02','P1'), ('DOC-03','P2'), ('DOC-04','P2')) r(rule_id, level)
+      WHERE NOT regexp_matches(line, 'audit.*ignore') AND NOT regexp_matches(above, 'audit.*ignore') AND CASE rule_id WHEN 'DOC-01' THEN regexp_matches(line, '(TODO|FIXME|XXX)[: ]')
         WHEN 'DOC-02' THEN regexp_matches(line, '(TOKEN|SECRET|PASSWORD|API_KEY) *= *"[A-Za-z0-9]{{16,}}"')
         WHEN 'DOC-03' THEN regexp_matches(line, ' \| .* \| ') AND NOT gate ELSE regexp_matches(line, '^[A-Z!,. ]{{20,}}$') END)
 """
@@ -96,9 +97,9 @@ def rule_file_gate(spark, d):
 
 
 @query(r"""SELECT 'X-T1' AS rule_id, 'P2' AS level, doc_id, CAST(1 + length(substr(text, 1, instr(text, m) - 1)) - length(replace(substr(text, 1, instr(text, m) - 1), chr(10), '')) AS INTEGER) AS line_no, m AS snippet
-FROM (SELECT doc_id, text, regexp_extract(text, '[A-Z]+ = "[A-Z0-9]+"') AS m FROM documents) WHERE m <> ''""")
+FROM (SELECT doc_id, text, regexp_extract(text, '[a-z_]+ = "[A-Za-z0-9_-]+"') AS m FROM documents) WHERE m <> ''""")
 def rule_whole_text(spark, d):
-    return rules.scan(t(spark, d, "documents"), [rules.Rule("X-T1", "P2", "assignment of a constant", '[A-Z]+ = "[A-Z0-9]+"', form="F")], ["doc_id"])
+    return rules.scan(t(spark, d, "documents"), [rules.Rule("X-T1", "P2", "assignment of a constant", '[a-z_]+ = "[A-Za-z0-9_-]+"', form="F")], ["doc_id"])
 
 
 @query(f"{HITS} SELECT doc_id, rule_id, min(line_no) AS line_no, count(*) AS hits FROM h GROUP BY ALL")
@@ -296,51 +297,28 @@ def registry_drift(spark, d):
 NAME = "list_distinct(list_concat(regexp_extract_all({c}, '[\\x{{4e00}}-\\x{{9fff}}]'), regexp_extract_all(lower({c}), '[a-z0-9_]{{2,}}')))"
 
 
-@query(rf"""WITH i AS (SELECT 'I' || doc_id AS id, {NAME.format(c='substr(text, 1, 120)')} AS tk FROM documents WHERE doc_id % 5 = 0),
-r AS (SELECT 'I' || doc_id AS rule_id, doc_id, {NAME.format(c='substr(text, 1, 120)')} AS tk FROM documents WHERE doc_id % 7 = 0),
-k AS (SELECT 'I' || doc_id AS rule_id, 'I0' AS item FROM documents WHERE doc_id % 21 = 0),
-m AS (SELECT 'I' || doc_id AS rule_id, CASE WHEN doc_id % 2 = 0 THEN 'I5' END AS item FROM documents WHERE doc_id % 77 = 0),
-s AS (SELECT r.rule_id, i.id AS item, len(list_intersect(r.tk, i.tk)) / (len(r.tk) + len(i.tk) - len(list_intersect(r.tk, i.tk))) AS score FROM r, i WHERE len(list_intersect(r.tk, i.tk)) > 0
-      AND r.rule_id NOT IN (SELECT id FROM i) AND r.rule_id NOT IN (SELECT rule_id FROM k) AND r.rule_id NOT IN (SELECT rule_id FROM m)),
-b AS (SELECT rule_id, item, score, score - coalesce(lead(score) OVER w, 0) AS margin, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY rule_id ORDER BY score DESC, item))
-SELECT r.rule_id, coalesce(i.id, k.item, m.item, CASE WHEN m.rule_id IS NULL AND b.score >= 0.32 THEN b.item END) AS item,
-  CASE WHEN i.id IS NOT NULL THEN 'id' WHEN k.item IS NOT NULL THEN 'known' WHEN m.item IS NOT NULL THEN 'manual' WHEN m.rule_id IS NOT NULL THEN 'manual_none'
-       WHEN b.score >= 0.5 THEN CASE WHEN b.margin < 0.08 THEN 'name_low_margin' ELSE 'name' END WHEN b.score >= 0.32 THEN 'review' ELSE 'open' END AS how
-FROM r LEFT JOIN i ON r.rule_id = i.id LEFT JOIN k ON r.rule_id = k.rule_id LEFT JOIN m ON r.rule_id = m.rule_id LEFT JOIN b ON r.rule_id = b.rule_id AND b.n = 1""")
-def map_cascade(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.concat(F.lit("I"), F.col("doc_id").cast("string")).alias("id"), F.substring("text", 1, 120).alias("name"))
-    items, rs = docs.where("doc_id % 5 = 0").select("id", "name"), docs.where("doc_id % 7 = 0").select(F.col("id").alias("rule_id"), F.col("name").alias("title"))
-    known = docs.where("doc_id % 21 = 0").select(F.col("id").alias("rule_id"), F.lit("I0").alias("item"))
-    manual = docs.where("doc_id % 77 = 0").select(F.col("id").alias("rule_id"), F.when(F.col("doc_id") % 2 == 0, "I5").alias("item"))
-    return registry.map_rules(rs, items, known, manual)
-
-
 @query(rf"""WITH i AS (SELECT DISTINCT 'N' || p_name AS id, p_name AS name, string_split(p_name, ' ') AS kw, '' AS body FROM part
   UNION ALL SELECT 'B' || item_id, text, [], text FROM benchmark),
 r AS (SELECT 'P' || p_partkey AS rule_id, concat(p_name, ' ', p_type) AS title FROM part),
+k AS (SELECT 'P' || p_partkey AS rule_id, 'B0' AS item FROM part WHERE p_size = 1),
+m AS (SELECT 'P' || p_partkey AS rule_id, CASE WHEN p_size = 2 THEN 'B1' END AS item FROM part WHERE p_size IN (2, 3)),
 p AS (SELECT rule_id, id AS item, {NAME.format(c='title')} AS a, {NAME.format(c='name')} AS b, len(list_filter(kw, lambda k: k <> '' AND contains(lower(title), lower(k)))) AS hits, lower(body) AS body FROM r, i),
 s AS (SELECT rule_id, item, least(1::DOUBLE, len(list_intersect(a, b))::DOUBLE / greatest(1, len(a) + len(b) - len(list_intersect(a, b))) + least(0.20::DOUBLE, hits * 0.07::DOUBLE) + 0::DOUBLE
   + coalesce(len(list_filter(a, lambda w: length(w) >= 2 AND contains(body, w)))::DOUBLE / nullif(len(list_filter(a, lambda w: length(w) >= 2)), 0) * 0.15::DOUBLE, 0)) AS score FROM p WHERE hits > 0 OR len(list_intersect(a, b)) > 0),
 b AS (SELECT rule_id, item, score, score - coalesce(lead(score) OVER w, 0) AS margin, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY rule_id ORDER BY score DESC, item))
-SELECT r.rule_id, CASE WHEN score >= 0.32::DOUBLE THEN item END AS item,
-  CASE WHEN score >= 0.5::DOUBLE THEN CASE WHEN margin < 0.08::DOUBLE THEN 'name_low_margin' ELSE 'name' END WHEN score >= 0.32::DOUBLE THEN 'review' ELSE 'open' END AS how
-FROM r LEFT JOIN b ON r.rule_id = b.rule_id AND b.n = 1""")
-def map_cascade_names(spark, d):
-    """All part names to the distinct names and the benchmark, with every part of the score but the scene; map_cascade
-    keeps the rows and prefixes of its SQL."""
+SELECT r.rule_id, coalesce(k.item, m.item, CASE WHEN m.rule_id IS NULL AND score >= 0.32::DOUBLE THEN b.item END) AS item,
+  CASE WHEN k.item IS NOT NULL THEN 'known' WHEN m.item IS NOT NULL THEN 'manual' WHEN m.rule_id IS NOT NULL THEN 'manual_none' WHEN score >= 0.5::DOUBLE THEN CASE WHEN margin < 0.08::DOUBLE THEN 'name_low_margin' ELSE 'name' END WHEN score >= 0.32::DOUBLE THEN 'review' ELSE 'open' END AS how
+FROM r LEFT JOIN k ON r.rule_id = k.rule_id LEFT JOIN m ON r.rule_id = m.rule_id LEFT JOIN b ON r.rule_id = b.rule_id AND b.n = 1""")
+def map_cascade(spark, d):
+    """All parts to the distinct part names and the benchmark, with every part of the score but the scene. Parts of
+    size 1 are known pairs, those of 2 and 3 are mapped by hand or left out by hand."""
     part = t(spark, d, "part")
     rs = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("rule_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
     names = part.select("p_name").distinct().select(F.concat(F.lit("N"), F.col("p_name")).alias("id"), F.col("p_name").alias("name"), F.split("p_name", " ").alias("keywords"), F.lit("").alias("body"))
     items = names.union(t(spark, d, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")), "text", F.array().cast("array<string>"), "text"))
-    none = rs.select("rule_id", F.lit(None).cast("string").alias("item")).limit(0)
-    return registry.map_rules(rs, items, none, none)
-
-
-@query("""WITH x AS (SELECT l_partkey AS source, l_orderkey AS target, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem WHERE l_partkey < 60),
-o AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'P0' ELSE 'P1' END AS lv FROM orders)
-SELECT source, target, CAST(n AS INTEGER) AS n FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY pos) AS n FROM x JOIN o ON target = o_orderkey WHERE lv = 'P0') WHERE n <= 3""")
-def xref_expand(spark, d):
-    return expand_lines(t(spark, d, "lineitem").where("l_partkey < 60"), t(spark, d, "orders"))
+    known = part.where("p_size = 1").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("rule_id"), F.lit("B0").alias("item"))
+    manual = part.where("p_size in (2, 3)").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("rule_id"), F.when(F.col("p_size") == 2, "B1").alias("item"))
+    return registry.map_rules(rs, items, known, manual)
 
 
 def expand_lines(lines, orders):
@@ -352,8 +330,8 @@ def expand_lines(lines, orders):
 @query("""WITH x AS (SELECT l_partkey AS source, l_orderkey AS target, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem),
 o AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'P0' ELSE 'P1' END AS lv FROM orders)
 SELECT source, target, CAST(n AS INTEGER) AS n FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY pos) AS n FROM x JOIN o ON target = o_orderkey WHERE lv = 'P0') WHERE n <= 3""")
-def xref_expand_all(spark, d):
-    """The references of every part; xref_expand keeps the parts of its SQL."""
+def xref_expand(spark, d):
+    """The references of every part."""
     return expand_lines(t(spark, d, "lineitem"), t(spark, d, "orders"))
 
 
@@ -474,7 +452,8 @@ def domain_route(spark, d):
 SELECT word, count(*) AS df FROM w GROUP BY word HAVING count(*) >= greatest(6, CAST(floor(0.2 * (SELECT n FROM n)) AS BIGINT))""")
 def df_stopwords(spark, d):
     words = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("word"))
-    return similar.frequent_words(words, "doc_id", "word")
+    n = t(spark, d, "documents").where(F.col("text").rlike("[A-Za-z0-9_]")).select("doc_id").distinct().count()
+    return similar.frequent_words(words, "doc_id", "word", documents=n)
 
 
 @query("""WITH c AS (SELECT source, count(*) FILTER (regexp_matches(text, 'TOKEN')) AS n, bool_or(regexp_matches(text, '^The ')) AS head FROM documents GROUP BY source)
@@ -587,12 +566,6 @@ def sarif_document(spark, d):
     return sinks.sarif(f.select("rule_id", "level", "path", "line_no", "snippet"))
 
 
-@query()
-def findings_report(spark, d):
-    f = doc_hits(spark, d).withColumn("path", F.col("doc_id").cast("string"))
-    return sinks.report(f.select("rule_id", "level", "path", "line_no", "snippet"))
-
-
 @query()
 def pages_without_comments(spark, d):
     return t(spark, d, "pages").select("page_id", F.length(comments.strip_comments(F.col("html"), F.lit("js"))).alias("length"), F.length("html").alias("was"))
@@ -602,3 +575,6 @@ def pages_without_comments(spark, d):
 def rulebook_findings(spark, d):
     """All built-in rules over all texts, as if every language could be any."""
     return rules.scan(t(spark, d, "documents").withColumn("any", F.lit(None).cast("string")), [rules.Rule(**{**r.__dict__, "langs": ()}) for r in RULES], ["doc_id"], lang="any")
+
+
+from sievework.plans import catalog_more  # noqa: E402, F401  its queries join the others

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,9 +79,15 @@ def systematic_sample(files: DataFrame, order: str, most: int = SAMPLE_FILES) ->
 
 def with_positions(df: DataFrame, order: str, cells: int = 1024) -> DataFrame:
     """position from 0 in the order of a column whose values are unique: rows are numbered inside ranges, and ranges
-    start where the ones before end."""
-    cuts = df.select(F.percentile_approx(order, [i / cells for i in range(1, cells)], 10_000)).first()[0] if df.schema[order].dataType.typeName() in ("long", "integer", "double") else None
-    cell = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(order))), F.lit(0)) if cuts else F.substring(F.lpad(F.hex(F.substring(F.col(order).cast("string"), 1, 8)), 16, "0"), 1, 16)
+    start where the ones before end. Numbers are cut at quantiles. Text is cut by its eight characters after the start
+    that all values share, compared byte by byte; a null comes first."""
+    if df.schema[order].dataType.typeName() in ("long", "integer", "double"):
+        cuts = df.select(F.percentile_approx(order, [i / cells for i in range(1, cells)], 10_000)).first()[0]
+        cell = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(order))), F.lit(0)) if cuts else F.lit(0)
+    else:
+        first, last = df.agg(F.min(order), F.max(order)).first()
+        shared = len(os.path.commonprefix([first or "", last or ""]))
+        cell = F.rpad(F.hex(F.substring(F.coalesce(F.col(order).cast("string"), F.lit("")), shared + 1, 8)), 64, "0")
     df = df.withColumn("_cell", cell)
     inside = F.row_number().over(W.partitionBy("_cell").orderBy(order)) - 1
     starts = df.groupBy("_cell").count().select(F.col("_cell").alias("_c"), (F.sum("count").over(W.orderBy("_cell")) - F.col("count")).alias("_start"))

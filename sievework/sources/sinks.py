@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +71,44 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(entries: DataFrame, path: str, day: str = "day") -> int:
-    """Moves entries to monthly folders and checks that none is lost; returns their number."""
-    n = entries.count()
+    """Moves entries to monthly folders and checks that none is lost, of these or of those there before; returns their
+    number. Entries are only gone from where they came from once this returns, so a loss raises an error."""
+    spark = entries.sparkSession
+
+    def held() -> int:
+        try:
+            return spark.read.parquet(path).count()
+        except AnalysisException as e:  # nothing archived yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return 0
+
+    before, n = held(), entries.count()
     entries.withColumn("month", F.date_format(day, "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)
-    kept = entries.sparkSession.read.parquet(path).count()
-    if kept < n:
-        raise RuntimeError(f"archive holds {kept} entries, {n} were written")
+    if (after := held()) != before + n:
+        raise RuntimeError(f"archive holds {after} entries, {before} were there and {n} were written")
     return n
+
+
+def propose(current: DataFrame, wanted: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Plan (key, action, old, new) that turns one table into the other: add, drop, change; equal rows need nothing."""
+    as_text = F.to_json(F.struct(*values))
+    old = current.select(F.col(key).alias("_k"), as_text.alias("old"))
+    new = wanted.select(F.col(key).alias("_n"), as_text.alias("new"))
+    both = old.join(new, F.col("_k") == F.col("_n"), "full").where("not (old <=> new)")
+    action = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), "drop").otherwise("change")
+    return both.select(F.coalesce("_k", "_n").alias(key), action.alias("action"), "old", "new")
+
+
+def apply_plan(current: DataFrame, plan: DataFrame, path: str, version: int, key: str, values: list[str]) -> None:
+    """Writes the table after a plan as a new version and the plan beside it as its log; versions before stay as backup."""
+    kept = current.join(plan.select(F.col(key).alias("_p")), F.col(key) == F.col("_p"), "left_anti").select(key, *values)
+    shape = ", ".join(f"`{c}` {current.schema[c].dataType.simpleString()}" for c in values)
+    new = plan.where("new is not null").select(key, F.from_json("new", shape).alias("v")).select(key, "v.*")
+    save_state(kept.unionByName(new), path, version)
+    plan.write.mode("overwrite").parquet(f"{path}_log/version={version:08d}")
+
+
+def undo(spark: SparkSession, path: str, version: int, to: int) -> None:
+    """Makes an earlier version the latest again, as a new version."""
+    save_state(spark.read.parquet(f"{path}/version={to:08d}"), path, version)

@@ -13,7 +13,7 @@ def audit_stream(spark: SparkSession, source: str, schema: str, sink: str, check
     that a batch that is tried again replaces what it wrote. Returns the query."""
 
     def each(batch: DataFrame, number: int) -> None:
-        scan(batch, rules, key, lang, text).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        scan(batch, rules, key, lang, text, blank=True).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
