@@ -7,8 +7,10 @@ feature), and the hashed pair of both (an n-gram feature). Within a class a word
 training tokens, with one added to every count and one unseen word to every class.
 
 Histories repeat, so the gradient over all training tokens is a sum over distinct histories with counts. Those are
-counted once, dealt over tasks, and each step sums the tasks' gradients by weight row, again dealt over tasks, and sends
-the new weights out. Sizes of weights and of what comes to the driver follow from the constants here, not from the corpus.
+counted once and dealt over tasks by their pair feature, so each task owns the weight rows of its pairs: it takes their
+step itself and sends back their new weights. Of the bias, bigram and skip rows, which tasks share, it sends gradients,
+which are summed before the step. Sizes of weights and of what comes to the driver follow from the constants here, not
+from the corpus.
 Word counts are a shuffled table of all words of all training texts; scoring looks up the commonest in memory and
 joins the others.
 """
@@ -41,7 +43,6 @@ PRIOR = 5.0
 #: Words whose counts every task holds; all others are joined.
 COMMON = 1 << 17
 FLUSH = 1_000_000
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = b"\n"  # no word holds white space
 
 
@@ -188,86 +189,101 @@ def count_histories(train: DataFrame, lex: Lexicon, scratch: Scratch) -> DataFra
 
     rows = train.select("text").mapInArrow(run, "history long, cls int, n long").groupBy("history", "cls").agg(F.sum("n").alias("n"))
     whole = rows.groupBy("history").agg(F.collect_list(F.struct("cls", "n")).alias("next"))
-    # tasks hold different pairs, so that they send few weight rows in common
-    return scratch.keep(whole.repartition(TASKS, F.expr(f"shiftright(history * {MULTIPLIER}, 7) % {FEATURES - PAIR_AT}")), "histories")
-
-
-def _gradients(shipped):
-    """Rows (weight row, observed and expected counts of groups and classes) for each feature that a task touches."""
-
-    def run(batches):
-        # columns: groups observed, groups expected, classes observed, classes expected
-        out = np.zeros((FEATURES, 2 * (GROUPS + CLASSES)), np.float32)
-        touched = np.zeros(FEATURES, bool)
-        for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                history, cell = part.column(0).to_numpy(), part.column(1)
-                sizes, inner = np.diff(cell.offsets.to_numpy()), cell.flatten()
-                n = np.zeros((len(history), CLASSES), np.float32)
-                n[np.repeat(np.arange(len(history)), sizes), inner.field("cls").to_numpy(zero_copy_only=False)] = inner.field("n").to_numpy(zero_copy_only=False)
-                rows = active(history)
-                p = np.exp(log_probs(shipped.value, rows)).reshape(len(n), GROUPS, -1)
-                groups = p.sum(2)
-                seen = n.reshape(p.shape).sum(2)
-                inside = p / np.maximum(groups[:, :, None], 1e-30) * seen[:, :, None]
-                x = np.concatenate([seen, groups * n.sum(1, keepdims=True), n, inside.reshape(len(n), CLASSES)], 1)
-                for k in range(rows.shape[1]):
-                    at, where = np.unique(rows[:, k], return_inverse=True)
-                    by = np.argsort(where, kind="stable")
-                    out[at] += np.add.reduceat(x[by], np.searchsorted(where[by], np.arange(len(at))), axis=0)
-                    touched[at] = True
-        at = np.flatnonzero(touched)
-        for lo in range(0, len(at), 1000):
-            some = at[lo : lo + 1000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in out[some]], pa.binary())], ["row", "data"])
-
-    return run
-
-
-def _step(shipped):
-    """One step along the summed gradient, each weight's step scaled by the counts behind it; gives the new weights of
-    the rows that a task gets. Rows that no history touches stay 0."""
+    return scratch.keep(whole, "histories")
+
+
+PACKED = "history binary, sizes binary, cls binary, n binary"
+
+
+def _pack(batches):
+    """A task's histories as one row."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        b = pa.Table.from_batches(held).combine_chunks()
+        cell = b.column("next").combine_chunks()
+        inner = cell.flatten()
+        arrays = [b.column("history").to_numpy(), cell.value_lengths().to_numpy(), inner.field("cls").to_numpy(zero_copy_only=False), inner.field("n").to_numpy(zero_copy_only=False)]
+        kinds = (np.int64, np.int32, np.int32, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, k).tobytes()], pa.binary()) for x, k in zip(arrays, kinds)], ["history", "sizes", "cls", "n"])
+
+
+def sums(w: Weights, history: np.ndarray, sizes: np.ndarray, cls: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows that some histories touch, and for each: groups observed and expected, classes observed and expected."""
+    out, touched = np.zeros((FEATURES, 2 * (GROUPS + CLASSES)), np.float32), np.zeros(FEATURES, bool)
+    ends = np.cumsum(sizes)
+    for lo in range(0, len(history), 2048):
+        some = slice(lo, lo + 2048)
+        inner = slice(ends[lo] - sizes[lo], ends[min(lo + 2048, len(history)) - 1])
+        seen = np.zeros((len(history[some]), CLASSES), np.float32)
+        seen[np.repeat(np.arange(len(seen)), sizes[some]), cls[inner]] = n[inner]
+        rows = active(history[some])
+        p = np.exp(log_probs(w, rows)).reshape(len(seen), GROUPS, -1)
+        groups, told = p.sum(2), seen.reshape(p.shape).sum(2)
+        inside = p / np.maximum(groups[:, :, None], 1e-30) * told[:, :, None]
+        x = np.concatenate([told, groups * seen.sum(1, keepdims=True), seen, inside.reshape(len(seen), CLASSES)], 1)
+        for k in range(rows.shape[1]):
+            at, where = np.unique(rows[:, k], return_inverse=True)
+            by = np.argsort(where, kind="stable")
+            out[at] += np.add.reduceat(x[by], np.searchsorted(where[by], np.arange(len(at))), axis=0)
+            touched[at] = True
+    at = np.flatnonzero(touched)
+    return at, out[at]
+
+
+def step(w: Weights, at: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+    """New weights of rows: a step along the summed gradient, each weight's scaled by the counts behind it."""
+    og, eg, oc, ec = np.split(gradient, [GROUPS, 2 * GROUPS, 2 * GROUPS + CLASSES], 1)
+    group, cls = w.group[at], w.cls[at].reshape(len(at), CLASSES)
+    group = group + RATE * (og - eg - PRIOR * group) / (np.maximum(og, eg) + PRIOR)
+    cls = cls + RATE * (oc - ec - PRIOR * cls) / (np.maximum(oc, ec) + PRIOR)
+    return np.concatenate([group, cls], 1).astype(np.float32)
+
+
+def _work(shipped):
+    """For each row of packed histories: gradients of the rows that tasks share (own false), and new weights of the
+    rows of its pairs (own true)."""
 
     def run(batches):
-        out: dict[int, np.ndarray] = {}
+        w = shipped.value
         for b in batches:
-            for row, data in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.frombuffer(data.as_buffer(), np.float32)
-                if row in out:
-                    out[row] += x
-                else:
-                    out[row] = x.copy()
-        at = sorted(out)
-        for lo in range(0, len(at), 1000):
-            some = at[lo : lo + 1000]
-            og, eg, oc, ec = np.split(np.stack([out[row] for row in some]), [GROUPS, 2 * GROUPS, 2 * GROUPS + CLASSES], 1)
-            group, cls = shipped.value.group[some], shipped.value.cls[some].reshape(len(some), CLASSES)
-            group = group + RATE * (og - eg - PRIOR * group) / (np.maximum(og, eg) + PRIOR)
-            cls = cls + RATE * (oc - ec - PRIOR * cls) / (np.maximum(oc, ec) + PRIOR)
-            whole = np.concatenate([group, cls], 1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([r.tobytes() for r in whole], pa.binary())], ["row", "data"])
+            for r in b.to_pylist():
+                at, got = sums(w, *(np.frombuffer(r[c], k) for c, k in (("history", np.int64), ("sizes", np.int32), ("cls", np.int32), ("n", np.int64))))
+                own = at >= PAIR_AT
+                for data, rows, flag in ((got[~own], at[~own], False), (step(w, at[own], got[own]), at[own], True)):
+                    for lo in range(0, len(rows), 1000):
+                        some = slice(lo, lo + 1000)
+                        yield pa.RecordBatch.from_arrays([pa.array(rows[some], pa.int64()), pa.array([flag] * len(rows[some])), pa.array([x.tobytes() for x in data[some]], pa.binary())], ["row", "own", "data"])
 
     return run
 
 
 def train_weights(counts: DataFrame, steps: int = STEPS) -> Weights:
-    """Tasks send the gradients of the rows that they touch, others sum them by row and take the step. What they hold
-    and what comes back is bounded by FEATURES; a step's shuffle files go with it."""
+    """Weights after some steps over counts (history, next). A pair's row belongs to one task, whose histories are one
+    row of a table, so no split of files parts them. What comes back is bounded by FEATURES and TASKS. Rows that no
+    history touches stay 0."""
     spark, w = counts.sparkSession, Weights()
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        for _ in range(steps):
-            shipped = spark.sparkContext.broadcast(w)
-            sent = counts.coalesce(TASKS).mapInArrow(_gradients(shipped), "row long, data binary")
-            got = sent.repartition(TASKS, "row").mapInArrow(_step(shipped), "row long, data binary").collect()
-            shipped.destroy()  # every step sends weights anew
-            for row, data in got:
-                x = np.frombuffer(data, np.float32)
-                w.group[row], w.cls[row] = x[:GROUPS], x[GROUPS:].reshape(GROUPS, -1)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    scratch = Scratch(spark, "weights")
+    pair = F.expr(f"shiftright(history * {MULTIPLIER}, 7) % {FEATURES - PAIR_AT}")
+    packed = scratch.keep(counts.repartition(TASKS, pair).mapInArrow(_pack, PACKED), "packed")
+    for _ in range(steps):
+        shipped = spark.sparkContext.broadcast(w)
+        got = packed.mapInArrow(_work(shipped), "row long, own boolean, data binary").toArrow()
+        shipped.destroy()  # every step sends weights anew
+        rows, own = got.column("row").to_numpy(), got.column("own").to_numpy()
+        data = got.column("data")
+        new = np.zeros((0, GROUPS + CLASSES), np.float32)
+        shared = np.zeros((PAIR_AT, 2 * (GROUPS + CLASSES)), np.float32)
+        seen = np.zeros(PAIR_AT, bool)
+        mine = np.flatnonzero(own)
+        if len(mine):
+            new = np.frombuffer(b"".join(x.as_py() for x in data.take(mine)), np.float32).reshape(len(mine), -1)
+        for k in np.flatnonzero(~own):
+            shared[rows[k]] += np.frombuffer(data[int(k)].as_py(), np.float32)
+            seen[rows[k]] = True
+        at = np.r_[rows[mine], np.flatnonzero(seen)].astype(np.int64)
+        whole = np.concatenate([new, step(w, np.flatnonzero(seen), shared[seen])])
+        w.group[at], w.cls[at] = whole[:, :GROUPS], whole[:, GROUPS:].reshape(len(at), GROUPS, CLASSES // GROUPS)
+    scratch.drop(packed)
     return w
 
 

@@ -217,19 +217,12 @@ def test_probabilities_sum_to_one():
     assert np.allclose(np.exp(lp.astype(float)).sum(1), 1, atol=1e-4)
 
 
-def test_weight_table_and_steps_are_whole(spark):
-    pairs = maxent.active(np.arange(maxent.CLASSES**2))[:, 3]
-    assert len(np.unique(pairs)) > 15_000 and maxent.STEPS >= 15
-    r = np.random.default_rng(1)
-    history, cls, n = r.integers(0, maxent.CLASSES**2, 300), r.integers(0, maxent.CLASSES, 300), r.integers(1, 9, 300)
-    rows = [(int(h), [(int(c), int(k))]) for h, c, k in zip(history, cls, n)]
-    counts = spark.createDataFrame(rows, "history long, next array<struct<cls:int,n:long>>").repartition(5)
-    got = maxent.train_weights(counts, 3)
-
-    want, seen, at = maxent.Weights(), np.zeros((300, maxent.CLASSES)), maxent.active(history)
-    seen[np.arange(300), cls] = n
-    for _ in range(3):
-        p = np.exp(maxent.log_probs(want, at).astype(float)).reshape(300, maxent.GROUPS, -1)
+def plain_weights(history, seen, steps):
+    """Weights by whole gradients over all histories, in one place; seen (histories, classes)."""
+    want, at = maxent.Weights(), maxent.active(history)
+    n = seen.sum(1)
+    for _ in range(steps):
+        p = np.exp(maxent.log_probs(want, at).astype(float)).reshape(len(history), maxent.GROUPS, -1)
         og, g = seen.reshape(p.shape).sum(2), p.sum(2)
         inside = p / g[:, :, None] * og[:, :, None]
         for w, o, e in ((want.group, og, g * n[:, None]), (want.cls, seen.reshape(p.shape), inside)):
@@ -237,4 +230,64 @@ def test_weight_table_and_steps_are_whole(spark):
             np.add.at(so, at, o[:, None])
             np.add.at(se, at, e[:, None])
             w += (maxent.RATE * (so - se - maxent.PRIOR * w) / (np.maximum(so, se) + maxent.PRIOR)).astype(np.float32)
+    return want
+
+
+def test_weight_table_and_steps_are_whole(spark):
+    pairs = maxent.active(np.arange(maxent.CLASSES**2))[:, 3]
+    assert len(np.unique(pairs)) > 15_000 and maxent.FEATURES >= 1 << 14 and maxent.STEPS >= 15
+    r = np.random.default_rng(1)
+    history, cls, n = r.permutation(maxent.CLASSES**2)[:300], r.integers(0, maxent.CLASSES, 300), r.integers(1, 9, 300)
+    rows = [(int(h), [(int(c), int(k))]) for h, c, k in zip(history, cls, n)]
+    counts = spark.createDataFrame(rows, "history long, next array<struct<cls:int,n:long>>").repartition(5)
+    got, seen = maxent.train_weights(counts, 3), np.zeros((300, maxent.CLASSES))
+    seen[np.arange(300), cls] = n
+    want = plain_weights(history, seen, 3)
     assert np.allclose(got.group, want.group, atol=1e-3) and np.allclose(got.cls, want.cls, atol=1e-3)
+    assert not maxent.train_weights(counts.limit(0), 1).group.any()
+
+
+def test_language_model_score_matches_brute_force(spark):
+    """Counts, classes, training and scores in plain Python over a corpus of more words than have a class of their own."""
+    r = random.Random(12)
+    vocab = [f"{r.choice(['ab', 'cd', 'ef'])}{i}{r.choice(['ing', 'tion', 'er', 'x'])}" for i in range(400)]
+    docs = [(i, " ".join(vocab[min(399, int(r.paretovariate(0.5)))] for _ in range(40))) for i in range(60)] + [(900, ""), (901, "never seen words")]
+    cut = lambda t: [*t.encode().split(), b"\n"]
+    counts = {}
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for w in cut(t):
+                counts[w] = counts.get(w, 0) + 1
+    first = sorted((-c, maxent.word_hash(w), w) for w, c in counts.items() if w != b"\n")
+    own = {b"\n": 0} | {w: k + 1 for k, (*_, w) in enumerate(first[: maxent.OWN - 1])}
+    assert len(counts) > maxent.OWN
+    of = lambda w: own.get(w, maxent.ending(w))
+    room = {}
+    for w, c in counts.items():
+        if w not in own:
+            n, v = room.get(of(w), (0, 0))
+            room[of(w)] = n + c, v + 1
+
+    def walk(t):
+        one = two = 0
+        for w in cut(t):
+            yield one * maxent.CLASSES + two, w
+            one, two = of(w), one
+
+    after = {}
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for h, w in walk(t):
+                after.setdefault(h, np.zeros(maxent.CLASSES))[of(w)] += 1
+    history = np.array(sorted(after))
+    w8 = plain_weights(history, np.stack([after[h] for h in history.tolist()]), maxent.STEPS)
+    want = {}
+    for i, t in docs:
+        want[i] = 0.0
+        for h, w in walk(t):
+            want[i] += float(maxent.log_probs(w8, maxent.active(np.array([h])))[0, of(w)]) / np.log(10)
+            if w not in own:
+                n, v = room.get(of(w), (0, 0))
+                want[i] += np.log10((counts.get(w, 0) + 1) / (n + v + 1))
+    got = {x.doc_id: x.score for x in maxent.score(spark.createDataFrame(docs, DOC)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-2 + 1e-3 * abs(want[i]) for i in want), {i: (got[i], want[i]) for i in want if abs(got[i] - want[i]) > 1e-2}
