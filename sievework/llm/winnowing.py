@@ -68,8 +68,8 @@ def winnow(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM
     """doc_id, n_words, n_hit, n_items, items_sha256 for each document.
 
     A word is hit inside any occurrence of an item's window of span words; an item of fewer words, but not none, is
-    one window. Null and empty texts have no words and no hits. Rows that repeat both doc_id and text give one row;
-    rows that share only a doc_id are judged one by one. Items without an item_id are ignored, items that share one
+    one window. Null and empty texts have no words and no hits. Each row of docs gives one; rows that repeat a doc_id are
+    judged by their own text each. Items without an item_id are ignored, items that share one
     are one item. Other columns are ignored, whatever their names. Empty tables on either side are fine."""
     assert 2 * gram >= span > gram
     scratch = Scratch(docs.sparkSession, "winnow")
@@ -102,17 +102,21 @@ def winnow(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM
     hits = scratch.keep(hits.join(small(known, BROADCAST_ROWS), (hits.v == F.col("wv")) & (hits.x == F.col("wx"))).select("doc_id", "th", "v", "x", "s", "len").distinct(), "hits")
     cover = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("s", "len")), lambda p: F.sequence(p.s, p.s + p.len - 1)))))
     covered = hits.groupBy("doc_id", "th").agg(cover.cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"))
-    owners = windows.select(F.col("v").alias("wv"), F.col("x").alias("wx"), "item")
-    named = hits.select("doc_id", "th", "v", "x").distinct()
-    named = named.join(small(owners, BROADCAST_ROWS), (named.v == F.col("wv")) & (named.x == F.col("wx"))).groupBy("doc_id", "th").agg(F.lit(None).cast("long").alias("n_hit"), F.collect_set("item").alias("items"))
-    base = found.where("s < 0").select("doc_id", "th", F.get("hs", F.lit(0)).alias("n_words"), F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"))
-    rest = covered.unionByName(named).withColumn("n_words", F.lit(None).cast("long"))
-    whole = base.unionByName(rest).groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.coalesce(F.max("n_hit"), F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.first("items", True), F.array().cast("array<string>")).alias("items"))
+    # a window is named by the set of items that hold it, and a document takes each set once, however many windows name it
+    owners = windows.groupBy(F.col("v").alias("wv"), F.col("x").alias("wx")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    owners = scratch.keep(owners.withColumn("set", F.sha2(F.to_json("items"), 256)), "owners")
+    sets = owners.groupBy(F.col("set").alias("_set")).agg(F.first("items").alias("items"))
+    named = hits.join(small(owners.select("wv", "wx", "set"), BROADCAST_ROWS), (hits.v == F.col("wv")) & (hits.x == F.col("wx"))).select("doc_id", "th", "set").distinct()
+    named = named.join(small(sets, BROADCAST_ROWS), F.col("set") == F.col("_set")).groupBy("doc_id", "th").agg(F.lit(None).cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    base = found.where("s < 0").select("doc_id", "th", F.lit(1).alias("rows"), F.get("hs", F.lit(0)).alias("n_words"), F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"))
+    rest = covered.unionByName(named).withColumns({"n_words": F.lit(None).cast("long"), "rows": F.lit(0)})
+    whole = base.unionByName(rest).groupBy("doc_id", "th").agg(F.sum("rows").cast("int").alias("rows"), F.max("n_words").alias("n_words"), F.coalesce(F.max("n_hit"), F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.first("items", True), F.array().cast("array<string>")).alias("items"))
+    whole = whole.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return whole.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), F.col("th").alias("text_hash"))
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 bw AS (SELECT DISTINCT item, least(len(w), 8) AS n, array_to_string(w[i : i + least(len(w), 8) - 1], ' ') AS x
        FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS i FROM b WHERE len(w) > 0)),
