@@ -15,6 +15,8 @@ from sievework.llm.common import Scratch, small
 
 BITS = 60
 LIMIT_BYTES = 1 << 20
+#: Ranges by which repeated rows are numbered.
+CELLS = 4096
 
 
 def _hash(id_col: str, text_col: str):
@@ -59,7 +61,7 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", tex
 
     The hash is of id and text, null as empty. A null text has 0 bytes. A row above the limit is a shard of its own.
     Rows that repeat both id and text cannot be told apart by bits: where they alone exceed the limit, part numbers
-    the pieces they are cut into by running sums; elsewhere it is 0. An empty table gives an empty result."""
+    the full pieces they are cut into, the last one perhaps less than full; elsewhere it is 0. An empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession, "shards")
     keep = [c for c in docs.columns if c not in ("bytes", "depth", "prefix", "shard_bytes", "part")]
     sized = docs.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("bytes"), _hash(id_col, text_col).alias("_h"))
@@ -72,12 +74,18 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_id", tex
     alike = scratch.keep(rows.groupBy("h").agg(F.sum("bytes").alias("b"), F.count("*").alias("c")).where((F.col("b") > limit) & (F.col("c") > 1)).select(F.col("h").alias("_same")), "alike")
     if alike.limit(1).count() == 0:
         return out.drop("_h").withColumn("part", F.lit(0).cast("long"))
-    # pieces are cut in each task for itself, so that one row repeated without end is no single task's work
-    hot = out.join(small(alike, 1_000_000), F.col("_h") == F.col("_same")).drop("_same").withColumn("_task", F.spark_partition_id())
-    run = W.partitionBy("_h", "_task").orderBy("bytes")
+    # rows of one hash have one id and text: which of them is in which piece doesn't matter, so they are numbered in
+    # ranges, and a row repeated without end is no single task's work
+    hot = out.join(small(alike, 1_000_000), F.col("_h") == F.col("_same")).drop("_same")
+    hot = scratch.keep(hot.withColumn("_cell", F.pmod(F.monotonically_increasing_id(), F.lit(CELLS))), "hot")
+    starts = hot.groupBy("_h", "_cell").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("_h").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    starts = scratch.keep(starts.select(F.col("_h").alias("_sh"), F.col("_cell").alias("_sc"), "_before"), "starts")
+    hot = hot.join(small(starts, 1_000_000), (F.col("_h") == F.col("_sh")) & (F.col("_cell") == F.col("_sc"))).drop("_sh", "_sc")
     fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1))))
-    hot = hot.withColumn("part", F.col("_task").cast("long") * (1 << 32) + F.floor((F.row_number().over(run) - 1) / fit)).drop("_task")
-    hot = hot.withColumn("shard_bytes", F.sum("bytes").over(W.partitionBy("_h", "part")))
+    number = F.col("_before") + F.row_number().over(W.partitionBy("_h", "_cell").orderBy("bytes")) - 1
+    hot = hot.withColumn("part", F.floor(number / fit)).drop("_cell", "_before")
+    pieces = scratch.keep(hot.groupBy("_h", "part").agg(F.sum("bytes").alias("_bytes")).select(F.col("_h").alias("_sh"), F.col("part").alias("_sp"), "_bytes"), "pieces")
+    hot = hot.drop("shard_bytes").join(small(pieces, 1_000_000), (F.col("_h") == F.col("_sh")) & (F.col("part") == F.col("_sp"))).withColumn("shard_bytes", F.col("_bytes")).drop("_sh", "_sp", "_bytes")
     rest = out.join(small(alike, 1_000_000), F.col("_h") == F.col("_same"), "left_anti").withColumn("part", F.lit(0).cast("long"))
     return rest.unionByName(hot).drop("_h")
 
