@@ -9,7 +9,6 @@ doesn't want the payload never undoes. Paths go through pyarrow's file systems,
 
 from __future__ import annotations
 
-import base64
 import gzip
 import io
 import re
@@ -30,7 +29,9 @@ HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_ur
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Extension header with the length of the payload before any content encoding.
 LENGTH = "X-Payload-Length"
-PLANNED_BYTES, FILE_BYTES, SPLIT_ROWS = 128 << 20, 1 << 30, 10_000
+PLANNED_BYTES, FILE_BYTES, SPLIT_ROWS = 128 << 20, 128 << 20, 10_000
+#: Fixed alphabet of base32.
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def file_system(path: str):
@@ -256,7 +257,8 @@ def page_records(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, date:
     the response and the others revisit it; all else are responses. Null html is an empty payload, a null url gives no
     target. A null page_id revisits like any other, and is a response where no payload like it has an id; rows that
     repeat the smallest id with its payload are responses too. Other columns are ignored."""
-    base32 = F.udf(lambda hexed: base64.b32encode(bytes.fromhex(hexed)).decode(), "string", useArrow=True)
+    five = lambda sha, i: F.conv(F.substring(sha, 5 * (i // 4) + 1, 5), 16, 10).cast("long")  # noqa: E731  20 bits, four letters
+    base32 = lambda c: F.concat(*[F.substring(F.lit(BASE32), F.shiftright(five(F.col(c), i), 15 - 5 * (i % 4)).bitwiseAND(31).cast("int") + 1, F.lit(1)) for i in range(32)])
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     pages = pages.select("page_id", F.col("url").cast("string").alias("target_uri"), html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("sha"))
     first = pages.where(F.col("payload_bytes") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
