@@ -67,14 +67,21 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, max_rows: int, wide: str | None = None) -> DataFrame:
-    """df marked for broadcast if it holds at most max_rows rows; otherwise as it is, for a shuffled join. The check
-    stops counting just beyond the bound. wide names a binary column of no fixed size: then its bytes are summed, and
-    64 of them for each row are allowed."""
-    if wide:
-        n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(wide)), F.lit(0))).first()
-        return F.broadcast(df) if n <= max_rows and size <= 64 * max_rows else df
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small(df: DataFrame, max_rows: int) -> DataFrame:
+    """df marked for broadcast if it holds at most max_rows rows and 64 bytes for each of so many; otherwise as it is,
+    for a shuffled join. Rows and bytes are summed up where they lie; one row comes to the driver."""
+    wide, fixed = [], 0
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            wide.append(F.octet_length(c))
+        elif kind == "array":
+            of = f.dataType.elementType.typeName()
+            wide.append(F.octet_length(F.array_join(c, "")) if of in ("string", "binary") else F.size(c) * 8)
+        fixed += 8
+    size = sum((F.coalesce(x, F.lit(0)).cast("long") for x in wide), F.lit(fixed).cast("long"))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and total <= 64 * max_rows else df
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:

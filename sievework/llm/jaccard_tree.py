@@ -445,7 +445,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     firsts = texts.where("doc_id is not null").join(small(spare, 1_000_000), (F.col("doc_id") == F.col("x")) & F.col("th").eqNullSafe(F.col("xth")), "left_anti")
     keyed = firsts.select("doc_id", "text").mapInArrow(_keys(n, num, den), "key long, set_id long").repartition("key").sortWithinPartitions("key", "set_id")
     met = scratch.keep(keyed.mapInArrow(_shared, "key long, set_id long").distinct(), "met")
-    ties = scratch.keep(_stars(_ties(met, small(signatures, 200_000, "bits"), num, den, scratch)), "ties")
+    ties = scratch.keep(_stars(_ties(met, small(signatures, 200_000), num, den, scratch)), "ties")
     blocks = components(ties, scratch)
     scratch.drop(described, copies, met)
 
