@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions.text import bigram_features, similarity_of_counts
@@ -11,17 +12,26 @@ DUPLICATE, RELATED, LEAST = 0.30, 0.05, 5
 
 
 def features(df: DataFrame, key: str, text: str) -> DataFrame:
-    f = bigram_features(F.col(text))
-    return df.select(F.col(key).alias("id"), F.explode(f).alias("f"), F.size(f).alias("size"))
+    """id, f, size: a row for each feature. The size goes into what is exploded: beside an explode() it would be worked out
+    anew for each feature."""
+    whole = F.transform(F.array(bigram_features(F.col(text))), lambda x: F.transform(x, lambda f: F.struct(f.alias("f"), F.size(x).alias("size"))))
+    return df.select(F.col(key).alias("id"), F.explode(F.element_at(whole, 1)).alias("r")).select("id", "r.f", "r.size")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: int = LEAST, self_join: bool = False, min_score: float = RELATED) -> DataFrame:
-    """left, right (id, f, size) -> a, b, shared, score at or above min_score. Features that only one side or one row
-    holds fall out before the join."""
-    r = right.select(F.col("id").alias("b"), F.col("f"), F.col("size").alias("nb"))
-    both = left.select(F.col("id").alias("a"), "f", F.col("size").alias("na")).join(r, "f")
-    both = both.where(F.col("a") < F.col("b")) if self_join else both
-    pairs = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    """left, right (id, f, size) -> a, b, shared, score at or above min_score.
+
+    A pair shares least features, so it shares one of the rarest size - least + 1 of either side: only those of the
+    left side meet the right side's, and the pairs found are then compared by all features. Features are ranked by how
+    many rows of the right side hold them."""
+    df = right.groupBy("f").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "f"))
+    rare = left.join(df, "f", "left").withColumn("_r", rank).where(F.col("_r") <= F.col("size") - least + 1)
+    rare_right = right.join(df, "f").withColumn("_r", rank).where(F.col("_r") <= F.col("size") - least + 1).select(F.col("id").alias("b"), "f")
+    met = rare.select(F.col("id").alias("a"), "f").join(rare_right, "f").select("a", "b").distinct()
+    met = met.where(F.col("a") < F.col("b")) if self_join else met
+    sets = lambda side, name, n: side.groupBy(F.col("id").alias(name)).agg(F.collect_set("f").alias(f"{name}_f"), F.max("size").alias(n))  # noqa: E731  a row's own features
+    pairs = met.join(sets(left, "a", "na"), "a").join(sets(right, "b", "nb"), "b").withColumn("shared", F.size(F.array_intersect("a_f", "b_f")).cast("long"))
     return pairs.withColumn("score", similarity_of_counts(F.col("shared"), F.col("na"), F.col("nb"), least)).where((F.col("score") >= min_score) & (F.col("score") > 0)).select("a", "b", "shared", "score")
 
 
