@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.operators import consistency as C
 from sievework.operators import findings as FI
-from sievework.operators import registry, routing, rules
+from sievework.operators import project_rules, registry, routing, rules
 from sievework.plans.catalog import DOMAINS, HITS, LINES, doc_hits, query, t
 from sievework.sources import corpus, sinks
 
@@ -206,3 +206,24 @@ def name_pairs(spark, d):
     items = kinds.select(F.concat(F.lit("T"), F.row_number().over(W.orderBy("name"))).alias("id"), T.name_tokens(F.col("name")).alias("tokens"))
     return registry.name_candidates(rs, items, registry.REVIEW)
 
+
+TS_TEXT = "concat('import { a', p_size, ' } from ', chr(39), './f', p_size, chr(39), ';', chr(10), 'import x from ', chr(39), './f', p_size % 7, chr(39), ';', chr(10), 'export const v', p_partkey, ' = a', p_size, ';', chr(10), 'export function g', p_partkey % 90, '() { return v', (p_partkey + 1) % 50, ' }')"
+
+
+@query(f"""WITH f AS (SELECT concat('src/f', p_partkey, '.ts') AS path, p_partkey, p_size, {TS_TEXT} AS text FROM part),
+e AS (SELECT path, unnest([3, 4]) AS line_no, unnest([concat('v', p_partkey), concat('g', p_partkey % 90)]) AS name FROM f),
+k AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM f), n AS (SELECT name, count(*) AS n FROM k GROUP BY 1),
+i AS (SELECT path, unnest([1, 2]) AS line_no, unnest([concat('./f', p_size), concat('./f', p_size % 7)]) AS spec FROM f)
+SELECT 'APP-G09' AS rule_id, 'P2' AS level, path, CAST(line_no AS INTEGER) AS line_no, e.name AS snippet FROM e JOIN n ON e.name = n.name WHERE n <= 1
+UNION ALL SELECT 'APP-P02', 'P2', path, 1, '' FROM f WHERE path NOT IN (SELECT concat('src/', substr(spec, 3), '.ts') FROM i WHERE concat('src/', substr(spec, 3), '.ts') <> i.path)
+UNION ALL SELECT 'APP-G08', 'P2', path, 2, spec FROM i GROUP BY path, spec HAVING count(*) > 1
+UNION ALL SELECT 'APP-P03', 'P2', 'package.json', 1, 'check, lint' UNION ALL SELECT 'APP-P01', 'P2', '.gitignore', 1, unnest(['node_modules', '.env'])
+UNION ALL SELECT 'APP-R08', 'P2', concat('r/m', s_suppkey, '.rs'), 1, '' FROM supplier WHERE s_suppkey % 3 <> 0""")
+def project_findings(spark, d):
+    """Whole-project rules over sources written from parts, and a Rust tree from suppliers."""
+    f = t(spark, d, "part").select(F.concat(F.lit("src/f"), "p_partkey", F.lit(".ts")).alias("path"), F.expr(TS_TEXT).alias("text"))
+    s = t(spark, d, "supplier")
+    rust = s.select(F.concat(F.lit("r/m"), "s_suppkey", F.lit(".rs")).alias("path"), F.lit("fn f() {}").alias("text"))
+    uses = s.where("s_suppkey % 3 = 0").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("pub mod m"), "s_suppkey", F.lit(";")))), "\n").alias("text"))
+    fixed = spark.createDataFrame([("package.json", '{"scripts": {"lint": "x", "check": "y", "build": "z"}}'), (".gitignore", "/dist/\n*.log")], "path string, text string")
+    return project_rules.project_findings(f.union(rust).union(uses.select(F.lit("r/main.rs").alias("path"), "text")).union(fixed))

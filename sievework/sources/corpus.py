@@ -40,6 +40,17 @@ def read_files(spark: SparkSession, root: str, exts: tuple[str, ...] | None = No
     return df.select("path", module_of(F.col("path")).alias("module"), language(F.col("path")).alias("lang"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("text"))
 
 
+#: Names of generated sources by language, which scans of that language leave out.
+GENERATED = {"ts": r"\.d\.ts$|\.(gen|generated)\.tsx?$", "cs": r"\.g\.cs$|\.Designer\.cs$", "go": r"\.pb\.go$|_gen\.go$", "cpp": r"\.pb\.(h|cc)$"}
+
+
+def read_language(spark: SparkSession, root: str, lang: str, exclude: tuple[str, ...] = (), tests: bool = False) -> DataFrame:
+    """Files of one language: up to MAX_BYTES_LANGUAGE, without tests unless they are asked for, without generated ones."""
+    exts = tuple(e for e, x in LANGUAGES.items() if x == lang)
+    df = read_files(spark, root, exts, MAX_BYTES_LANGUAGE, exclude, tests)
+    return df.where(~F.col("path").rlike(GENERATED[lang])) if lang in GENERATED else df
+
+
 def excluded(path: Column, prefixes) -> Column:
     """A path is excluded if it is a prefix or lies below one."""
     out = F.lit(False)

@@ -138,3 +138,24 @@ def test_recommendation(spark):
     keys = spark.createDataFrame([(i,) for i in range(1, 8)], "k int")
     got = {r.k: (r.domain, r.confidence) for r in C.recommend(hits, "k", keys, "cur").collect()}
     assert got == {1: ("a", "medium"), 2: ("a", "high"), 3: ("a", "undecided"), 4: ("a", "high"), 5: ("cur", "undecided"), 6: ("a", "medium"), 7: (None, "none")}
+
+
+def test_project_rules(spark):
+    from sievework.operators import project_rules as P
+
+    rows = [("package.json", '{"scripts": {"test": "x"}}'), (".gitignore", "node_modules/\ndist\n.env"), ("src/index.ts", "import { a } from './a'\nimport { b } from './a'"), ("src/a.ts", "export const a = 1\nexport function lonely() {}\nexport class b {}"), ("src/unused.ts", "x"), ("r/main.rs", "mod a;"), ("r/a.rs", "pub mod b;"), ("r/a/b.rs", ""), ("r/c.rs", "mod a;"), ("bad", None)]
+    got = sorted((r.rule_id, r.path, r.line_no, r.snippet) for r in P.project_findings(spark.createDataFrame(rows, "path string, text string")).collect())
+    assert got == [("APP-G08", "src/index.ts", 2, "./a"), ("APP-G09", "src/a.ts", 2, "lonely"), ("APP-P02", "src/unused.ts", 1, ""), ("APP-P03", "package.json", 1, "test"), ("APP-R08", "r/c.rs", 1, "")]
+    with_ci = spark.createDataFrame([*rows, (".github/workflows/x.yml", "")], "path string, text string")
+    assert P.checks_without_ci(with_ci).count() == 0
+    own = P.rules_from_json('{"rules": [{"id": "X1", "pattern": "foo", "languages": ["py"], "cwe": []}, {"id": "X2"}, 3, {"id": "X3", "pattern": "y", "form": "Q"}]}')
+    assert [(r.rule_id, r.langs, r.cwe) for r in own] == [("X1", ("py",), ())]
+    assert rules.scan(files(spark, [("a", "py", "foo"), ("b", "ts", "foo")]), own, ["path"]).count() == 1
+
+
+def test_language_scan(spark, tmp_path):
+    for name, text in (("src/a.ts", "x"), ("src/a.d.ts", "x"), ("src/b.gen.ts", "x"), ("src/a.test.ts", "x"), ("big.ts", "y" * (corpus.MAX_BYTES + 1)), ("huge.ts", "y" * (corpus.MAX_BYTES_LANGUAGE + 1))):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.path for r in corpus.read_language(spark, str(tmp_path), "ts").collect()}
+    assert got == {"src/a.ts", "big.ts"}
