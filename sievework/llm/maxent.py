@@ -240,23 +240,29 @@ def step(w: Weights, at: np.ndarray, gradient: np.ndarray) -> np.ndarray:
 
 
 def _work(shipped):
-    """For each row of packed histories: gradients of the rows that tasks share (own false), and new weights of the
-    rows of its pairs (own true)."""
+    """For each row of packed histories the new weights of the rows of its pairs (own true), and for all of them the
+    gradients of the rows that tasks share (own false)."""
 
     def run(batches):
-        w = shipped.value
+        w, shared, touched = shipped.value, np.zeros((PAIR_AT, 2 * (GROUPS + CLASSES)), np.float32), np.zeros(PAIR_AT, bool)
         for b in batches:
             for r in b.to_pylist():
                 at, got = sums(w, *(np.frombuffer(r[c], k) for c, k in (("history", np.int64), ("sizes", np.int32), ("cls", np.int32), ("n", np.int64))))
                 own = at >= PAIR_AT
-                for data, rows, flag in ((got[~own], at[~own], False), (step(w, at[own], got[own]), at[own], True)):
-                    for lo in range(0, len(rows), 1000):
-                        some = slice(lo, lo + 1000)
-                        yield pa.RecordBatch.from_arrays([pa.array(rows[some], pa.int64()), pa.array([flag] * len(rows[some])), pa.array([x.tobytes() for x in data[some]], pa.binary())], ["row", "own", "data"])
+                shared[at[~own]] += got[~own]
+                touched[at[~own]] = True
+                yield from _rows(at[own], step(w, at[own], got[own]), True)
+        yield from _rows(np.flatnonzero(touched), shared[touched], False)
 
     return run
 
 
+def _rows(at: np.ndarray, data: np.ndarray, own: bool):
+    for lo in range(0, len(at), 1000):
+        some = slice(lo, lo + 1000)
+        yield pa.RecordBatch.from_arrays([pa.array(at[some], pa.int64()), pa.array([own] * len(at[some])), pa.array([x.tobytes() for x in data[some]], pa.binary())], ["row", "own", "data"])
+
+
 def train_weights(counts: DataFrame, steps: int = STEPS) -> Weights:
     """Weights after some steps over counts (history, next). A pair's row belongs to one task, whose histories are one
     row of a table, so no split of files parts them. What comes back is bounded by FEATURES and TASKS. Rows that no
@@ -267,7 +273,7 @@ def train_weights(counts: DataFrame, steps: int = STEPS) -> Weights:
     packed = scratch.keep(counts.repartition(TASKS, pair).mapInArrow(_pack, PACKED), "packed")
     for _ in range(steps):
         shipped = spark.sparkContext.broadcast(w)
-        got = packed.mapInArrow(_work(shipped), "row long, own boolean, data binary").toArrow()
+        got = packed.coalesce(TASKS).mapInArrow(_work(shipped), "row long, own boolean, data binary").toArrow()
         shipped.destroy()  # every step sends weights anew
         rows, own = got.column("row").to_numpy(), got.column("own").to_numpy()
         data = got.column("data")
@@ -276,12 +282,13 @@ def train_weights(counts: DataFrame, steps: int = STEPS) -> Weights:
         seen = np.zeros(PAIR_AT, bool)
         mine = np.flatnonzero(own)
         if len(mine):
-            new = np.frombuffer(b"".join(x.as_py() for x in data.take(mine)), np.float32).reshape(len(mine), -1)
+            new = np.stack([np.frombuffer(data[int(k)].as_buffer(), np.float32) for k in mine])
         for k in np.flatnonzero(~own):
-            shared[rows[k]] += np.frombuffer(data[int(k)].as_py(), np.float32)
+            shared[rows[k]] += np.frombuffer(data[int(k)].as_buffer(), np.float32)
             seen[rows[k]] = True
         at = np.r_[rows[mine], np.flatnonzero(seen)].astype(np.int64)
         whole = np.concatenate([new, step(w, np.flatnonzero(seen), shared[seen])])
+        del got, data
         w.group[at], w.cls[at] = whole[:, :GROUPS], whole[:, GROUPS:].reshape(len(at), GROUPS, CLASSES // GROUPS)
     scratch.drop(packed)
     return w

@@ -251,7 +251,7 @@ def test_language_model_score_matches_brute_force(spark):
     """Counts, classes, training and scores in plain Python over a corpus of more words than have a class of their own."""
     r = random.Random(12)
     vocab = [f"{r.choice(['ab', 'cd', 'ef'])}{i}{r.choice(['ing', 'tion', 'er', 'x'])}" for i in range(400)]
-    docs = [(i, " ".join(vocab[min(399, int(r.paretovariate(0.5)))] for _ in range(40))) for i in range(60)] + [(900, ""), (901, "never seen words")]
+    docs = [(i, " ".join(vocab[r.choice([min(399, int(r.paretovariate(0.5))), r.randrange(400)])] for _ in range(40))) for i in range(60)] + [(900, ""), (901, "never seen words")]
     cut = lambda t: [*t.encode().split(), b"\n"]
     counts = {}
     for i, t in docs:
