@@ -96,6 +96,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def related_score(a: Column, b: Column, least: int = 2) -> Column:
+    """The Jaccard index of two sets that share least members or more, else 0."""
+    return F.when(F.size(F.array_intersect(a, b)) < least, 0.0).otherwise(jaccard(a, b))
+
+
 def similarity_of_counts(shared: Column, a: Column, b: Column, least: int = 5) -> Column:
     """0.65 of the overlap coefficient and 0.35 of the Jaccard index; 0 below least shared features."""
     return F.when(shared < least, 0.0).otherwise(0.65 * shared / F.least(a, b) + 0.35 * shared / (a + b - shared))

@@ -577,4 +577,4 @@ def rulebook_findings(spark, d):
     return rules.scan(t(spark, d, "documents").withColumn("any", F.lit(None).cast("string")), [rules.Rule(**{**r.__dict__, "langs": ()}) for r in RULES], ["doc_id"], lang="any")
 
 
-from sievework.plans import catalog_docs, catalog_more  # noqa: E402, F401  their queries join the others
+from sievework.plans import catalog_docs, catalog_more, catalog_sinks  # noqa: E402, F401  their queries join the others
