@@ -531,9 +531,27 @@ def lint_missing_refs(spark, d):
     return lint.missing_refs(refs, t(spark, d, "part").where("p_size < 40"), "f", "p", "p_partkey")
 
 
-@query()
+DOC_CELLS = r"len(string_split(regexp_replace(regexp_replace(trim(line), '^\\|', ''), '\\|$', ''), '|'))"
+
+
+@query(rf"""WITH {LINES}, m AS (SELECT *, regexp_matches(line, '^[ \t]*```') AS mark, lag(line) OVER w AS above, lead(line) OVER w AS below FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+x AS (SELECT *, mark OR sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS fenced FROM m),
+z AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n, len(regexp_extract_all(text, '[\x{{4e00}}-\x{{9fff}}]')) + len(regexp_extract_all(text, '[A-Za-z0-9_]+')) + len(regexp_extract_all(text, '[^A-Za-z0-9_ \t\n\r\x{{4e00}}-\x{{9fff}}]')) AS k, len(regexp_extract_all(text, '(?m)^#{{1,3}} ')) AS s FROM documents),
+b AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island, {DOC_CELLS} AS cells FROM x WHERE NOT fenced AND regexp_matches(line, '^\s*\|')), c AS (SELECT *, first_value(cells) OVER (PARTITION BY doc_id, island ORDER BY line_no) AS want FROM b),
+o AS (SELECT doc_id, length(regexp_extract(line, '^(#+)', 1)) AS depth, instr('一二三四五六七八九十', regexp_extract(line, '^#+ +([一二三四五六七八九十])、', 1)) AS no FROM x WHERE NOT fenced AND regexp_matches(line, '^#+ +[一二三四五六七八九十]、'))
+SELECT level, doc_id AS file, issue, hint FROM (
+SELECT CASE WHEN regexp_matches(text, 'lint: *size-exempt') THEN 'info' ELSE 'error' END AS level, CAST(doc_id AS VARCHAR) AS doc_id, concat(n, ' lines, ', k, ' tokens') AS issue, 'split the file' AS hint FROM z WHERE n > 500 OR k > 8192
+UNION ALL SELECT 'warn', doc_id, concat(n, ' lines, ', s, ' sections'), 'near the limit' FROM z WHERE n >= 400 AND n <= 500 OR s > 20
+UNION ALL SELECT 'warn', doc_id, concat(CASE WHEN regexp_matches(line, '^#+ +#+ ') THEN 'doubled heading mark' ELSE 'indented heading' END, ', line ', line_no), '' FROM x WHERE NOT fenced AND (regexp_matches(line, '^#+ +#+ ') OR regexp_matches(line, '^ {{1,3}}#{{1,6}} '))
+UNION ALL SELECT 'warn', doc_id, 'heading repeated: ' || trim(regexp_replace(line, '^#+', '')), '' FROM x WHERE NOT fenced AND regexp_matches(line, '^#{{1,6}} ') GROUP BY doc_id, trim(regexp_replace(line, '^#+', '')) HAVING count(*) > 1
+UNION ALL SELECT 'error', doc_id, concat('number repeated: ', no), '' FROM o GROUP BY doc_id, depth, no HAVING count(*) > 1
+UNION ALL SELECT 'error', doc_id, concat('line ', line_no, ': ', cells, ' cells, not ', want), '' FROM c WHERE cells <> want
+UNION ALL SELECT 'warn', doc_id, concat('row without a table, line ', line_no), '' FROM x WHERE NOT fenced AND regexp_matches(line, '^\s*\|') AND NOT coalesce(regexp_matches(above, '^\s*\|'), false) AND NOT coalesce(regexp_matches(below, '^\s*\|'), false)
+UNION ALL SELECT 'error', min(CAST(doc_id AS VARCHAR)), concat(count(*), ' files with equal contents'), '' FROM documents WHERE length(text) >= 40 GROUP BY md5(text) HAVING count(*) > 1
+UNION ALL SELECT 'warn', doc_id, concat('count written out, line ', line_no), '' FROM l WHERE regexp_matches(line, '[0-9]+ (files|rules|checks|items)')
+UNION ALL SELECT 'error', doc_id, 'missing target: ' || target, '' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\]\(([^)#\s]+)(?:#[^)]*)?\)', 1)) AS target FROM documents) WHERE NOT regexp_matches(target, '^[a-z]+:') AND target NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents))""")
 def lint_documents(spark, d):
-    return lint.check_documents(t(spark, d, "documents").withColumnRenamed("doc_id", "path"), "path", "text")
+    return lint.check_documents(t(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string")), "path", "text")
 
 
 @query("SELECT p_partkey AS k FROM part WHERE p_size < 25 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
@@ -566,8 +584,9 @@ def sarif_document(spark, d):
     return sinks.sarif(f.select("rule_id", "level", "path", "line_no", "snippet"))
 
 
-@query()
+@query("SELECT page_id, CAST(length(html) AS INTEGER) AS length, CAST(length(html) AS INTEGER) AS was FROM pages")
 def pages_without_comments(spark, d):
+    """Blanking keeps every character's place; what is left is compared in comment_blanking."""
     return t(spark, d, "pages").select("page_id", F.length(comments.strip_comments(F.col("html"), F.lit("js"))).alias("length"), F.length("html").alias("was"))
 
 
