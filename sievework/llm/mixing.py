@@ -3,9 +3,10 @@
 Each source has a target number of words. Its weight over training time t in [0, 1] is target * (1 + ramp * (2t - 1));
 the integral up to t is its cumulative demand. A source's documents stand in an order of their own (by hash), their
 words cover that demand one after the other, and the inverse of the demand at a document's middle is the time at which
-it is trained on. Sorting the copies by that time gives the order of training.
+it is trained on. Range-sorting the copies by that time gives the order of training, in which each has its place.
 
-Cumulative words come from sums over hash ranges, so that no source, however large, is summed up in one task.
+Cumulative words come from sums over hash ranges, so that no source, however large, is summed up in one task; places
+come from the rows of the sorted ranges.
 """
 
 from __future__ import annotations
@@ -39,14 +40,46 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, ramps=RAMPS) -> D
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, ramps=RAMPS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, first_position, and copies, th, source, start, ramp for materialise().
+    """doc_id, size, source_size, target, taken, first_position, first_place, and copies, th, source, start, ramp for
+    materialise(); a row for each of docs, in the order of training by its first copy, rows that aren't taken last.
 
     Each source takes floor(target / size) copies of everything, then one more of the documents that come first in its
     order, up to the remainder: what it takes is within half a document of its target. Null and empty texts have
     size 0 and are taken 0 times their size; a null source is a source of its own, the last. Rows that repeat doc_id
     and text stand side by side in the order and are told apart by nothing else; null doc_ids are ordinary ids. The
     order is by md5 of doc_id and text, so reruns agree. A source without words has target 0 and first_position null,
-    as has a document that isn't taken. Other columns are ignored. An empty table gives an empty result."""
+    as has a document that isn't taken; first_place is null for the latter alone. Other columns are ignored. An empty
+    table gives an empty result."""
+    each = sequence(docs, weights, cap, ramps, id_col, text_col, source_col).where("coalesce(copy, 0) = 0")
+    first = F.when((F.col("copies") > 0) & (F.col("target") > 0), F.col("position"))
+    each = each.repartitionByRange("place").sortWithinPartitions("place")
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), first.alias("first_position"), F.when(F.col("copies") > 0, F.col("place")).alias("first_place"), "copies", "th", "source", "start", "ramp")
+
+
+def sequence(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, ramps=RAMPS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A row for each copy that the mix takes: copy (from 0) of doc_id, size, source_size, target, copies, th, source,
+    start, ramp, its position in [0, 1] and its place, from 0, in the order of training. Copies of one position stand by
+    th, source, copy; those of a source without words have position 1. A document that isn't taken has one row with
+    copy and position null, at a place after all copies."""
+    scratch = Scratch(docs.sparkSession, "sequence")
+    rows = planned(docs, weights, cap, ramps, id_col, text_col, source_col)
+    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    rows = rows.withColumn("copy", F.explode_outer(copies))
+    rows = rows.withColumn("position", F.when(F.col("copy").isNotNull(), F.coalesce(F.when(F.col("target") > 0, position(F.col("copy"))), F.lit(1.0))))
+    by = [F.col(c).asc_nulls_last() for c in ("position", "th", "source", "copy", "start", "doc_id")]
+    ranked = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    # the number of a row in its range; ranges are numbered in their order
+    ranked = ranked.withColumns({"prange": F.spark_partition_id(), "pnumber": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    ranked = scratch.keep(ranked, "ranked")
+    before = F.coalesce(F.sum("n").over(W.orderBy("orange").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranked.groupBy(F.col("prange").alias("orange")).agg(F.count("*").alias("n")).select("orange", before.alias("before"))
+    ranked = ranked.join(F.broadcast(offsets), F.col("prange") == F.col("orange")).withColumn("place", F.col("before") + F.col("pnumber"))
+    return ranked.drop("prange", "pnumber", "orange", "before")
+
+
+def planned(docs: DataFrame, weights, cap: int, ramps, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, size, source_size, target, copies, th, source, start, ramp: how often each row of docs is taken, and the
+    words of its source before it."""
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
@@ -69,8 +102,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, ramps=RAMPS, id_col: s
     rows = rows.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / size)).otherwise(F.lit(0)).cast("long"))
     more = (F.col("start") + F.col("size") / 2.0) <= (F.col("target") - F.col("whole") * size)
     rows = rows.withColumn("copies", F.when(more & (F.col("whole") < cap), F.col("whole") + 1).otherwise(F.col("whole")))
-    first = F.when((F.col("copies") > 0) & (F.col("target") > 0), position(F.lit(0)))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), first.alias("first_position"), "copies", "th", "source", "start", "ramp")
+    return rows.select("doc_id", "size", "source_size", "target", "copies", "th", "source", "start", "ramp")
 
 
 def position(copy):

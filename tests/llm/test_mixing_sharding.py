@@ -47,6 +47,27 @@ def test_copies_are_ordered_and_complete(spark):
     assert mixing.materialise(docs, mixed).columns == docs.columns
 
 
+def test_rows_come_in_the_order_of_training(spark):
+    """Places of all copies by brute force; the query's rows come in that order."""
+    docs = corpus(spark)
+    rows = mixing.mix(clashing(docs)).collect()
+    copies = []
+    for r in rows:
+        for k in range(r.copies):
+            q = min(1.0, (k * r.source_size + r.start + r.size / 2) / r.target) if r.target else 1.0
+            at = q if r.ramp == 0 or not r.target else (r.ramp - 1 + ((1 - r.ramp) ** 2 + 4 * r.ramp * q) ** 0.5) / (2 * r.ramp)
+            copies.append((round(at, 12), r.th, r.source is None, r.source or "", k))
+    copies.sort()
+    got = mixing.sequence(docs.repartition(5)).where("copy is not null").collect()
+    assert sorted(r.place for r in got) == list(range(len(copies)))
+    assert [(round(r.position, 12), r.th, r.source is None, r.source or "", r.copy) for r in sorted(got, key=lambda r: r.place)] == copies
+    places = {(r.th, r.source, r.start): r.place for r in got if r.copy == 0}
+    assert all(r.first_place == places[r.th, r.source, r.start] for r in rows if r.copies)
+    taken = [r.first_place for r in rows if r.copies]
+    assert taken == sorted(taken) and all(r.copies and r.first_place is not None for r in rows[: len(taken)])
+    assert len(taken) < len(rows) and all(r.first_place is None for r in rows[len(taken) :])
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], DOC)
     assert mixing.mix(e).collect() == [] and sharding.shard(e).collect() == []
