@@ -20,12 +20,6 @@ def marks(labels: DataFrame, label: str, mod: int, held: int, id_col: str) -> Da
     return marked.where((remainder("_id", mod) != held) & F.col("y").isin(0, 1))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, y) of all labelled rows outside the held-out fold."""
-    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(marks(labels, label, mod, held, id_col), F.col("_doc") == F.col("_id")).select(F.col("_id").alias("doc_id"), "text", "y")
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, y), with about per_class rows of each class at most, and the count of each class among all
     labelled rows outside the held-out fold. Rows are taken by a hash of the id, so reruns take the same ones. Ids

@@ -38,8 +38,7 @@ def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return ranking.score(docs, ranking.fit(docs, table(spark, sf_dir, "labels")))
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 from helpers import clashing, odd_texts, words
+from pyspark.sql import functions as F
 
 from sievework.llm import maxent, ranking, toxicity
 
@@ -175,6 +176,37 @@ def test_words_enter_the_ranking(spark):
     assert np.mean([row.predicted == row.doc_id % 2 for row in rows if row.held_out]) > 0.95
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote for a shuffle."""
+    jvm = spark._jvm
+    stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_ranking_shuffles_no_texts(spark):
+    """Above the bound for broadcasts, labels meet ids and ratings, not texts; each way gives the same scores."""
+    docs, labels, _ = labelled(spark)
+    junk = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.sha2(F.concat_ws("-", "doc_id", k), 256)))
+    docs = docs.withColumn("text", F.concat_ws(" ", "text", junk)).unionByName(spark.createDataFrame([(None, "a b"), (3, "one more text of three"), (7, None)], DOC))
+    docs = spark.createDataFrame(docs.collect(), DOC)
+    size, was = docs.agg(F.sum(F.octet_length("text"))).first()[0], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        model = ranking.fit(docs, labels)
+        assert shuffled(spark) - before < size / 20
+        before = shuffled(spark)
+        rows = ranking.rank(docs, labels).collect()
+        assert shuffled(spark) - before < size / 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
+    want = sorted(ranking.score(docs, model).collect(), key=key)
+    rows = sorted(rows, key=key)
+    assert [(r.doc_id, r.held_out, r.predicted) for r in rows] == [(r.doc_id, r.held_out, r.predicted) for r in want]
+    assert np.allclose([r.score for r in rows], [r.score for r in want])
+
+
 def test_without_labels(spark):
     docs, labels, _ = labelled(spark, 20)
     none = labels.limit(0)
