@@ -16,7 +16,8 @@ expressions have nearly all their mass from shared counts and speak for neither
 
 A text is judged by the difference of its two log-likelihoods per token. A logistic curve, fitted on sampled rows
 that the counts have not seen, turns that difference, the same times the root of the length, and how much of it comes
-from expressions that are far likelier in the toxic class, into a score from 0 to 1.
+from expressions that are far likelier in the toxic class, into a score from 0 to 1. How closely the curve may follow
+those rows is chosen by the loss on rows that it was not fitted on, so that few rows give a flat curve.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ STEMS = (4, 5, 6, 7, 8, 10)
 DEVIATIONS = 1.0
 #: Differences of log-likelihood from which on an expression counts as far likelier.
 FAR = (1.0, 2.0, 3.0, 4.0)
+#: Ridges that the curve is chosen from, by its loss over so many folds.
+RIDGES, FOLDS = (1e-2, 1e-1, 1.0, 10.0), 5
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -222,17 +225,36 @@ def train(texts: list[bytes], y: list[int]) -> Model:
     told = mass.any(1)  # pairs without mass of their own need no entry
     model = Model(h[order], [t[0] for t in tree], [np.arange(a, b) for a, b in zip(starts, starts[1:])], unigram.astype(np.float32), backoff.astype(np.float32), pairs[told], mass[told].astype(np.float32), np.array([0.0] * (2 + 2 * len(FAR)) + [-1.0]))
     if len(set(y_[hold])) == 2:
-        model.curve = logistic(model.features([t for t, h in zip(texts, hold) if h]), y_[hold])
+        model.curve = curve(model.features([t for t, h in zip(texts, hold) if h]), y_[hold])
     return model
 
 
+def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """logistic() with that of RIDGES that has the least loss on rows left out; each fold has its share of both classes."""
+    part = np.empty(len(y), np.int64)
+    for c in (0, 1):
+        at = np.flatnonzero(y == c)
+        part[at] = np.random.default_rng(11).permutation(len(at)) % FOLDS
+
+    def loss(ridge: float) -> float:
+        total = 0.0
+        for k in range(FOLDS):
+            s = np.clip(x[part == k] @ logistic(x[part != k], y[part != k], ridge), -30, 30)
+            total += np.logaddexp(0, np.where(y[part == k] == 1, -s, s)).sum()
+        return total
+
+    return logistic(x, y, min(RIDGES, key=loss))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Newton steps on the logistic loss over standardised columns; the last column is constant."""
+    """Newton steps on the logistic loss over standardised columns; the last column is constant and, but for the least
+    of RIDGES, free."""
     scale = np.r_[x[:, :-1].std(0) + 1e-12, 1.0]
     z, w = x / scale, np.zeros(x.shape[1])
+    ridge = np.r_[np.full(x.shape[1] - 1, ridge), RIDGES[0]]
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge)
         step = np.linalg.solve(h, z.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:

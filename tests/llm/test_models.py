@@ -126,6 +126,20 @@ def test_kneser_ney_matches_plain_formulas():
     assert len(model.pairs) > 0
 
 
+def test_few_rows_give_a_flat_curve_and_many_a_close_one():
+    """Columns that say nothing must not flag new rows; a column that says much, over many rows, keeps its weight."""
+    rng = np.random.default_rng(2)
+    rows = lambda n: np.column_stack([rng.normal(size=(n, 10)), np.ones(n)])
+    flagged = lambda c, x: (1 / (1 + np.exp(-x @ c)) >= 0.3).mean()
+    x, y, new = rows(60), (np.arange(60) % 8 == 0).astype(int), rows(2000)
+    assert flagged(toxicity.curve(x, y), new) < 0.05 < flagged(toxicity.logistic(x, y), new)
+    x = rows(2000)
+    y = (x[:, 0] + 0.1 * x[:, 1] > 1).astype(int)
+    got = toxicity.curve(x, y)
+    assert np.allclose(got, toxicity.logistic(x, y)) and np.mean((x @ got > 0) == y) > 0.99
+    assert np.isfinite(toxicity.curve(x[:9], np.r_[1, np.zeros(8, int)])).all()
+
+
 def test_kneser_ney_sums_to_one():
     for texts, y in (toy_texts(), ([b"a b c d", b"a b", b"c d a b", b"a b"], [0, 1, 0, 1])):
         model = toxicity.train(texts, y)
