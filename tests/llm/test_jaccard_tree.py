@@ -114,3 +114,47 @@ def test_components_on_chains_stars_and_trees(spark):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_components_contract_until_few_edges_are_left(spark, few):
+    from sievework.llm.common import Scratch
+    from sievework.llm.components import components
+
+    r, wrote = random.Random(9), []
+    ids = r.sample(range(10_000), 400)
+    edges = list(zip(ids[:300], ids[1:300])) + [(r.choice(ids[300:]), r.choice(ids[300:])) for _ in range(60)] + [(None, 1), (2, None), (3, 3)]
+
+    class Counted(Scratch):
+        def keep(self, df, name="t"):
+            wrote.append(name)
+            return super().keep(df, name)
+
+    rows = components(spark.createDataFrame(edges, "a long, b long"), Counted(spark, "t"), few).collect()
+    got = dict(map(tuple, rows))
+    near = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [] if x in want else [x]
+        while todo:
+            if (y := todo.pop()) not in want:
+                want[y] = x
+                todo += near[y]
+    assert len(rows) == len(got) and got == want
+    assert ("parents" in wrote) == (few < len(edges)) and ("last" in wrote) == (few > 0)
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), few).collect() == []
+
+
+def test_small_graphs_write_two_tables(spark):
+    """The driver keeps plans and tasks of every table that is written: it ran out of memory over many small ones."""
+    from sievework.llm.common import Scratch
+    from sievework.llm.components import components
+
+    scratch = Scratch(spark, "t")
+    ids = random.Random(5).sample(range(1000), 200)
+    assert {r.label for r in components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), scratch).collect()} == {min(ids)}
+    assert scratch.n <= 2
