@@ -14,6 +14,18 @@ STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was",
 NUMERALS = "一二三四五六七八九十"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value worked out once. An expression that a lambda only mentions is worked out anew for each element
+    that the lambda gets; its arguments aren't."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_pattern(word: str) -> str:
+    """A word between word boundaries in folded text. The word comes first, so that a place without it costs one look."""
+    w = re.escape(word)
+    return f"{w}(?<![a-z0-9_]{w})(?![a-z0-9_])"
+
+
 def cjk_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(CJK))
 
@@ -76,9 +88,10 @@ def ascii_tokens(c: Column, least: int = 1) -> Column:
 
 
 def cjk_grams(c: Column, n: int = 2) -> Column:
-    """n-grams inside runs of CJK characters; a shorter run stands for itself."""
-    runs = F.regexp_extract_all(c, F.lit(f"{CJK}+"), F.lit(0))
-    return F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < n, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substring(r, i, F.lit(n))))))
+    """n-grams inside runs of CJK characters; a shorter run stands for itself. Found by looking ahead from each character, so
+    that a long run costs its length."""
+    short = rf"|(?<!{CJK}){CJK}{{1,{n - 1}}}(?!{CJK})" if n > 1 else ""
+    return F.regexp_extract_all(c, F.lit(rf"(?=({CJK}{{{n}}}{short}))"), F.lit(1))
 
 
 def bigram_features(c: Column) -> Column:
@@ -166,10 +179,9 @@ def glob_regex(glob: str) -> str:
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """Keywords that occur: ASCII ones between word boundaries, others anywhere; those inside a longer hit go."""
-    low = F.lower(text)
-    one = lambda k: low.rlike(f"(?:^|[^a-z0-9_]){re.escape(k.lower())}(?:[^a-z0-9_]|$)") if k.isascii() else low.contains(k)
-    hits = F.array_compact(F.array(*[F.when(one(k), F.lit(k)) for k in keywords]))
-    return F.filter(hits, lambda h: ~F.exists(hits, lambda o: (F.length(o) > F.length(h)) & o.contains(h)))
+    one = lambda low, k: low.contains(k.lower()) & low.rlike(word_pattern(k.lower())) if k.isascii() else low.contains(k)
+    hits = let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(one(low, k), F.lit(k)) for k in keywords])))
+    return let(hits, lambda found: F.filter(found, lambda h: ~F.exists(found, lambda o: (F.length(o) > F.length(h)) & o.contains(h))))
 
 
 def numeral(c: Column) -> Column:

@@ -195,7 +195,8 @@ def word_functions(spark, d):
     c = F.col("text")
     counts = T.domain_counts(c, {"the": "the ", "und": "und"})
     hits = T.keyword_hits(c, ["the", "then", "and", "under"])  # a hit inside a longer one goes; put back for the comparison
-    raw = F.filter(F.array(*[F.lit(k) for k in ("the", "then", "and", "under")]), lambda k: F.array_contains(hits, k) | ((k == "the") & F.array_contains(hits, F.lit("then")) & c.rlike(r"(?i)(?:^|[^a-zA-Z0-9_])the(?:[^a-zA-Z0-9_]|$)")))
+    the = c.rlike(r"(?i)(?:^|[^a-zA-Z0-9_])the(?:[^a-zA-Z0-9_]|$)")
+    raw = T.let(hits, lambda h: F.filter(F.array(*[F.lit(k) for k in ("the", "then", "and", "under")]), lambda k: F.array_contains(h, k) | ((k == "the") & F.array_contains(h, F.lit("then")) & the)))
     sized = lambda x: F.size(x).cast("long")
     return t(spark, d, "documents").select("doc_id", sized(T.feature_words(c)).alias("features"), sized(T.keywords_of(c, F.lit(""), 1 << 20)).alias("identifiers"), sized(T.numeric_claims(c)).alias("claims"), F.coalesce(counts["the"], F.lit(0)).cast("long").alias("the"), F.coalesce(counts["und"], F.lit(0)).cast("long").alias("und"), raw.alias("raw"))
 

@@ -48,3 +48,19 @@ def test_comments_keep_lines_and_columns(spark):
     assert C.regex_skeleton(r"(?<!a)foo\.bar[0-9]+") == "foobar" and C.regex_skeleton(r"eval\((?!safe)") == "eval"
     df = spark.createDataFrame([("x // y", "ts"), (None, "ts")], "a string, l string").select(C.strip_comments("a", "l"))
     assert [r[0] for r in df.collect()] == ["x     ", None]
+
+
+def test_what_several_places_need_is_worked_out_once(spark):
+    """Mentioned inside a lambda, the patterns were searched for again with each keyword and each hit."""
+    words = ["the", "then", "and", "under", "图"]
+    shown = spark.createDataFrame([("x",)], "a string").select(T.keyword_hits(F.col("a"), words).alias("h"))._jdf.queryExecution().analyzed().toString()
+    assert shown.count("RLIKE") == 4 and shown.count("lower(") == 1
+    assert one(spark, T.keyword_hits(F.col("a"), words), a="The_x then; AND 图 unders") == ["then", "and", "图"]
+
+
+def test_grams_of_long_runs(spark):
+    text = "x中 文字典y" + "一二三四五" * 40_000 + " 图"
+    grams = lambda n: [g for run in ("中", "文字典", "一二三四五" * 40_000, "图") for g in ([run[i : i + n] for i in range(len(run) - n + 1)] or [run])]
+    for n in (1, 2, 3, 4):
+        assert one(spark, T.cjk_grams(F.col("a"), n), a=text) == grams(n)
+    assert "substring" not in spark.range(1).select(T.cjk_grams(F.lit("一"), 3).alias("g"))._jdf.queryExecution().analyzed().toString()
