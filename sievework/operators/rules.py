@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions.comments import strip_comments
-from sievework.functions.text import glob_regex, snippet
+from sievework.functions.text import glob_regex, let, snippet
 
 PRAGMA = r"audit[^\n]*ignore"
 
@@ -59,11 +60,50 @@ def without_comments(c: Column) -> Column:
 
 def exempt_lines(text: Column, pragma: str | None) -> Column:
     """Array of (line, exempt) of a text: a line is exempt if it or the one before holds the pragma."""
-    cut = F.split(text, "\n")
+    plain = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.lit(False).alias("exempt")))
     if not pragma:
-        return F.transform(cut, lambda x: F.struct(x.alias("line"), F.lit(False).alias("exempt")))
-    told = F.transform(cut, lambda x, i: F.struct(x.alias("line"), (x.rlike(pragma) | F.coalesce(F.get(cut, i - 1).rlike(pragma), F.lit(False))).alias("exempt")))
-    return F.when(text.rlike(pragma), told).otherwise(F.transform(cut, lambda x: F.struct(x.alias("line"), F.lit(False).alias("exempt"))))
+        return plain
+    told = let(F.split(text, "\n"), lambda cut: F.transform(cut, lambda x, i: F.struct(x.alias("line"), (x.rlike(pragma) | F.coalesce(F.get(cut, i - 1).rlike(pragma), F.lit(False))).alias("exempt"))))
+    return F.when(text.rlike(pragma), told).otherwise(plain)
+
+
+def needed(pattern: str) -> list[set[str]]:
+    """Sets of strings of which each hit of a pattern holds one, sets with marks first, as prose has few of them."""
+    from re import _constants as ops, _parser
+
+    def walk(seq) -> list[set[str]]:
+        out, run = [], ""
+        for op, arg in seq:
+            if op is ops.LITERAL:
+                run += chr(arg)
+                continue
+            out, run = [*out, *([{run}] if run else [])], ""
+            if op is ops.SUBPATTERN:
+                out += walk(arg[-1])
+            elif op is ops.MAX_REPEAT and arg[0] > 0:
+                out += walk(arg[2])
+            elif op is ops.BRANCH:
+                best = [max(found, key=rank, default=None) for found in map(walk, arg[1])]
+                out += [set().union(*best)] if all(best) else []
+        return [*out, *([{run}] if run else [])]
+
+    rank = lambda x: (all(re.search(r"[^A-Za-z0-9 .,]", w) for w in x), min(map(len, x)))
+    return sorted((x for x in walk(_parser.parse(pattern)) if len(x) <= 12), key=rank, reverse=True)
+
+
+def may_hit(text: Column, pattern: str) -> Column:
+    """False only if the pattern hits no line of the text: a hit on a line is one in the text with anchors at line ends.
+    Patterns that look around, set flags or match nothing aren't judged, nor are line ends of two characters."""
+    try:
+        judged = not re.search(r"\(\?(?!:)|\\[AzZGRQ1-9]|[*+?}]\+", pattern) and not re.search(pattern, "")
+    except re.error:
+        judged = False
+    if not judged:
+        return F.lit(True)
+    found = text.rlike(f"(?m){pattern}")
+    found = found | text.contains("\r\n") if "$" in pattern else found
+    held = [reduce(lambda a, b: a | b, [text.contains(w) for w in sorted(x)]) for x in needed(pattern)]
+    return reduce(lambda a, b: a & b, [*held[:3], found])
 
 
 def near(ls: DataFrame, key: list[str], pattern: str, before: int = 3, after: int = 1) -> DataFrame:
@@ -81,18 +121,14 @@ def whole_matches(text: Column, pattern: str) -> Column:
     return F.aggregate(steps, empty, add, lambda a: a.out)
 
 
-def guard_frame(key: list[str], win: int):
-    """Lines n - win + 1 to n + win around line n."""
-    return W.partitionBy(*key).orderBy("line_no").rowsBetween(-(win - 1), win)
-
-
 def scan(files: DataFrame, rules: list[Rule], key: list[str], lang: str = "lang", text: str = "text", pragma: str | None = PRAGMA, blank: bool = False) -> DataFrame:
-    """Findings (rule_id, level, key..., line_no, snippet) of all rules in one pass over files.
+    """Findings (rule_id, level, key..., line_no, snippet) of all rules over files, each of which is looked at by itself.
 
-    Each rule is one predicate; a line's hits come out of one array, so the lines are read once whatever the number of
-    rules. Window guards share one exchange by file, and only rules that have one take part in it. A line is exempt
-    if it or the one before holds the pragma. Whole-text rules report the line of their first hit. Null texts give
-    nothing; a rule without a language list applies to files whose language is null as well.
+    A rule first asks of the whole text whether its pattern can hit at all, and only then looks at lines; gates and
+    guards are read where a line is hit. So what a text costs is one search for each rule, no row is made for a line and
+    nothing is shuffled but the hits of rules that keep a file's first one. A line is exempt if it or the one before holds
+    the pragma. Whole-text rules report the line of their first hit. Null texts give nothing; a rule without a language
+    list applies to files whose language is null as well.
 
     In the languages of RAW_LINES gates are read without comments, while lines count as they stand. With blank comments
     of all other files are blanked first (an Arrow UDF), except for the pragma."""
@@ -105,39 +141,40 @@ def scan(files: DataFrame, rules: list[Rule], key: list[str], lang: str = "lang"
         files, marked = raw.unionByName(rest.withColumn(text, strip_comments(F.col(text), F.col(lang)))), F.col("_marked")
     line_rules = [r for r in rules if r.form in ("L", "W")]
     whole = [r for r in rules if r.form == "F"]
-    if line_rules:
-        gates = {}
-        for r in line_rules:
-            for kind, p in (("absent", r.absent), ("present", r.present)):
-                if p and not r.win:
-                    gates[f"g{len(gates)}"] = (r.rule_id, kind, p)
-        cols = [gated.rlike(p).alias(g) for g, (_, _, p) in gates.items()]
-        if blank and pragma:  # pragmas stand in comments, so they are looked for in the text as it was
-            told = F.transform(exempt_lines(marked, pragma), lambda x: x.exempt)
-            cut = F.zip_with(F.split(F.col(text), "\n"), told, lambda a, b: F.struct(a.alias("line"), b.alias("exempt")))
-        else:
-            cut = exempt_lines(F.col(text), pragma)
-        ls = files.select(*key, F.col(lang).alias("_lang"), *cols, F.posexplode(cut).alias("_pos", "_l"))
-        ls = ls.select(*key, "_lang", *gates, (F.col("_pos") + 1).alias("line_no"), F.col("_l.line").alias("line"), F.col("_l.exempt").alias("_exempt"))
-        windows = {(r.win, p): f"w{i}" for i, (r, p) in enumerate((r, p) for r in line_rules if r.win for p in (r.absent, r.present) if p)}
-        for (win, p), name in windows.items():
-            ls = ls.withColumn(name, F.max(F.col("line").rlike(p)).over(guard_frame(key, win)))
-
-        def hit(r: Rule) -> Column:
-            ok = applies(r, F.col("_lang"), F.col(key[0])) & F.col("line").rlike(r.pattern)
-            for kind, p in (("absent", r.absent), ("present", r.present)):
-                if p:
-                    seen = F.col(windows[(r.win, p)]) if r.win else F.col(next(g for g, v in gates.items() if v == (r.rule_id, kind, p)))
-                    ok = ok & (~seen if kind == "absent" else seen)
-            return F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.first_only).alias("once")))
-
-        hits = ls.where(~F.col("_exempt"))
-        hits = hits.select(*key, "line_no", "line", F.explode(F.array_compact(F.array(*map(hit, line_rules)))).alias("r"))
-        hits = hits.select("r.rule_id", "r.level", *key, "line_no", snippet(F.col("line")).alias("snippet"), "r.once")
-        if any(r.first_only for r in line_rules):
-            many, once = hits.where(~F.col("once")), hits.where("once")
-            hits = many.unionByName(first_hits(once, ["rule_id", *key]))
-        found.append(hits.drop("once"))
+    if blank and pragma:  # pragmas stand in comments, so they are looked for in the text as it was
+        told = F.transform(exempt_lines(marked, pragma), lambda x: x.exempt)
+        cut = F.zip_with(F.split(F.col(text), "\n"), told, lambda a, b: F.struct(a.alias("line"), b.alias("exempt")))
+    else:
+        cut = exempt_lines(F.col(text), pragma)
+
+    def hits(r: Rule) -> Column:
+        """Array of a rule's hits on the lines of a text."""
+
+        def guarded(x: Column, i: Column, ls: Column) -> Column:
+            ok = x.line.rlike(r.pattern) & ~x.exempt
+            if r.win:
+                from_ = F.greatest(i - (r.win - 1), F.lit(0))  # lines n - win + 1 to n + win around line n
+                around = F.slice(ls, from_ + 1, i + r.win - from_ + 1)
+                for kind, p in (("absent", r.absent), ("present", r.present)):
+                    if p:
+                        seen = F.exists(around, lambda y: y.line.rlike(p))
+                        ok = ok & (~seen if kind == "absent" else seen)
+            return ok
+
+        told = [F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level")]
+        at = let(cut, lambda ls: F.transform(F.filter(F.transform(ls, lambda x, i: F.struct(F.when(guarded(x, i, ls), i + 1).alias("n"), x.line.alias("line"))), lambda y: y.n.isNotNull()), lambda y: F.struct(*told, y.n.alias("line_no"), snippet(y.line).alias("snippet"))))
+        ok = applies(r, F.col(lang), F.col(key[0])) & may_hit(F.col(text), r.pattern)
+        for kind, p in (("absent", r.absent), ("present", r.present)):
+            if p and not r.win:
+                ok = ok & (~gated.rlike(p) if kind == "absent" else gated.rlike(p))
+        return F.when(ok, F.slice(at, 1, 1) if r.first_only else at).otherwise(none)
+
+    none = F.array().cast("array<struct<rule_id:string,level:string,line_no:int,snippet:string>>")
+    for once in (False, True):
+        some = [r for r in line_rules if r.first_only == once]
+        if some:
+            hit = files.select(*key, F.explode(F.concat(*map(hits, some))).alias("r")).select("r.rule_id", "r.level", *key, "r.line_no", "r.snippet")
+            found.append(first_hits(hit, ["rule_id", *key]).select(*hit.columns) if once else hit)
     if whole:
 
         def at(r: Rule) -> Column:
@@ -152,7 +189,6 @@ def scan(files: DataFrame, rules: list[Rule], key: list[str], lang: str = "lang"
             hit = F.regexp_substr(F.col(text), F.lit(r.pattern))
             return F.when(ok, F.array(F.struct(*told, (F.regexp_count(before, F.lit("\n")) + 1).alias("line_no"), snippet(hit).alias("snippet")))).otherwise(none)
 
-        none = F.array().cast("array<struct<rule_id:string,level:string,line_no:int,snippet:string>>")
         ws = files.select(*key, F.explode(F.concat(*map(at, whole))).alias("r"))
         found.append(ws.select("r.rule_id", "r.level", *key, "r.line_no", "r.snippet"))
     return reduce(DataFrame.unionByName, found)
@@ -189,8 +225,6 @@ def merge_rules(*tables: DataFrame) -> DataFrame:
 
 def rule_errors(rules: list[Rule]) -> list[tuple[str, str]]:
     """Rules whose pattern doesn't compile, with the reason; scan() gets the others."""
-    import re
-
     bad = []
     for r in rules:
         for p in (r.pattern, r.absent, r.present):
