@@ -515,8 +515,10 @@ def lint_identical(spark, d):
 @query("""WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS a, CAST(s_nationkey AS VARCHAR) AS b FROM customer JOIN supplier ON c_custkey % 97 = s_suppkey % 97), e AS (SELECT DISTINCT a, b FROM c)
 SELECT 'error' AS level, a AS file, 'not returned by ' || b AS issue, '' AS hint FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.a = e.b AND f.b = e.a)""")
 def lint_mirror_pairs(spark, d):
-    c = t(spark, d, "customer").join(t(spark, d, "supplier"), F.col("c_custkey") % 97 == F.col("s_suppkey") % 97)
-    return lint.mirror_pairs(c.select(F.col("c_nationkey").cast("string").alias("a"), F.col("s_nationkey").cast("string").alias("b")), "a", "b")
+    """Only which nations meet counts, so each side comes to the join with one row for a nation and a remainder."""
+    side = lambda name, key, nation, as_: t(spark, d, name).select((F.col(key) % 97).alias("k"), F.col(nation).cast("string").alias(as_)).distinct()
+    c = side("customer", "c_custkey", "c_nationkey", "a").join(side("supplier", "s_suppkey", "s_nationkey", "b"), "k")
+    return lint.mirror_pairs(c.select("a", "b"), "a", "b")
 
 
 @query("""WITH a AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders), b AS (SELECT CAST(c_custkey AS VARCHAR) AS v FROM customer WHERE c_custkey % 3 <> 0)

@@ -51,3 +51,10 @@ def test_references_of_every_part(spark, duck):
     got = {r[0] for r in catalog.QUERIES["xref_expand"](spark, SF).select("source").distinct().collect()}
     want = duck.execute("select distinct l_partkey from lineitem join orders on l_orderkey = o_orderkey where o_orderpriority like '1%'").fetchall()
     assert got == {k for (k,) in want} and max(got) >= 60
+
+
+def test_mirror_pairs_meet_as_nations(spark):
+    """Customers met suppliers one by one, which grows with the square of the tables."""
+    plan = catalog.QUERIES["lint_mirror_pairs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    inner = [i for i, x in enumerate(plan) if "Join Inner" in x]
+    assert inner and all("Aggregate" in plan[i + 1] for i in inner)
