@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievework.functions.text import glob_regex, scene_score
+from sievework.functions.text import glob_regex, let, scene_score, word_pattern
 
 
 @dataclass(frozen=True)
@@ -68,18 +69,22 @@ def batches(df: DataFrame, order: list[str], size: int = 4, partition: str | Non
 
 def keyword_scores(texts: DataFrame, key: str, text: str, domains: dict[str, list[str]], generic: tuple[str, ...] = ()) -> DataFrame:
     """key, domain, score: total length of a domain's keywords in the text, generic ones left out."""
-    low = F.lower(F.col(text))
 
-    def total(words: list[str]) -> Column:
+    def total(words: list[str], low: Column) -> Column:
         out = F.lit(0)
         for w in words:
             if w not in generic:
-                hit = low.rlike(f"(^|[^a-z0-9_]){w}([^a-z0-9_]|$)") if w.isascii() else low.contains(w)
+                if not w.isascii():
+                    hit = low.contains(w)
+                elif re.fullmatch(r"\w+", w):  # the cheap look first: most words are in few texts
+                    hit = low.contains(w) & low.rlike(word_pattern(w))
+                else:
+                    hit = low.rlike(f"(^|[^a-z0-9_]){w}([^a-z0-9_]|$)")
                 out = out + F.when(hit, len(w)).otherwise(0)
         return out
 
-    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), total(ws).alias("score")) for d, ws in sorted(domains.items())]))
-    return texts.select(key, rows.alias("r")).select(key, "r.domain", "r.score").where("score > 0")
+    rows = let(F.lower(F.col(text)), lambda x: F.array(*[F.struct(F.lit(d).alias("domain"), total(ws, x).alias("score")) for d, ws in sorted(domains.items())]))
+    return texts.select(key, F.explode(F.filter(rows, lambda r: r.score > 0)).alias("r")).select(key, "r.domain", "r.score")
 
 
 def keyword_counts(texts: DataFrame, key: str, text: str, domains: dict[str, list[str]]) -> DataFrame:

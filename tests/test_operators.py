@@ -186,3 +186,49 @@ def test_map_score_counts_keywords_scene_and_body(spark):
     assert got == {("A", "X"): round(0.5 + 0.07 + 0.08 + 0.15, 6), ("A", "Y"): 0.07, ("B", "Y"): round(0.20 + 0.08 + 0.075, 6)}
     none = r.select("rule_id", r.title.alias("item")).limit(0)
     assert sorted(map(tuple, registry.map_rules(r, i, none, none).collect())) == [("A", "X", "name"), ("B", "Y", "review")]
+
+
+def test_rules_over_lines_without_rows_of_lines(spark):
+    """Hits, guards at both ends of their window, pragmas, first hits and gates against plain Python, in a plan that makes
+    no row of a line and shuffles only for first hits."""
+    import re
+
+    texts = ["x = eval(a)\nfor y\n" + "z\n" * 3 + "eval(b)\n\nsafe", "eval(a)\r\nend$\r\n", "# audit ignore\neval(q)\neval(r)\n", "", "tail\n", "a\n\n", "eval(1)\n" * 3 + "gate", None]
+    rs = [
+        rules.Rule("A", "P0", "", r"eval\(", (), "W", absent="safe", win=3),
+        rules.Rule("B", "P1", "", r"eval\(", (), "W", present="for ", win=2),
+        rules.Rule("C", "P1", "", r"d[^a-z]+$"),
+        rules.Rule("D", "P2", "", r"^$"),
+        rules.Rule("E", "P2", "", r"eval\(", first_only=True),
+        rules.Rule("F", "P2", "", r"^(eval|tail)", absent="gate"),
+        rules.Rule("G", "P2", "", r"(?i)^EVAL\((?!1)"),
+    ]
+    want = set()
+    for k, text in enumerate(texts):
+        cut = (text or "").split("\n") if text is not None else []
+        for r in rs:
+            hit = lambda p, x: re.search(p, x) is not None
+            found = []
+            for i, x in enumerate(cut):
+                around = cut[max(i - r.win + 1, 0) : i + r.win + 1] if r.win else cut
+                free = not any(hit(rules.PRAGMA, y) for y in cut[max(i - 1, 0) : i + 1])
+                if free and hit(r.pattern, x) and not (r.absent and any(hit(r.absent, y) for y in around)) and (not r.present or any(hit(r.present, y) for y in around)):
+                    found.append((r.rule_id, k, i + 1))
+            want |= set(found[:1] if r.first_only else found)
+    files = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("lang", F.lit(None).cast("string"))
+    got = rules.scan(files, rs, ["k"])
+    assert sorted(tuple(r) for r in got.select("rule_id", "k", "line_no").collect()) == sorted(want) and len(want) > 15
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan
+
+
+def test_needed_strings():
+    assert rules.needed(r"^ *(subprocess\.(run|call)|child_process\.exec)\(")[:2] == [{"("}, {"child_process.exec", "subprocess."}]
+    assert rules.needed("a*|b") == [] and rules.needed("(ab)+c?") == [{"ab"}] and rules.needed("[ab]x{0,2}") == []
+
+
+def test_keywords_fold_a_text_once(spark):
+    d = spark.createDataFrame([(1, "The und"), (2, "undo a_the the2"), (3, "x\nDER.")], "k int, text string")
+    scores = routing.keyword_scores(d, "k", "text", {"a": ["the"], "b": ["und", "der"]})
+    assert sorted(tuple(r) for r in scores.collect()) == [(1, "a", 3), (1, "b", 3), (3, "b", 3)]
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
