@@ -1,4 +1,7 @@
-"""Document lint: each check takes tables and gives issues (level, file, issue, hint)."""
+"""Document lint: each check takes tables and gives issues (level, file, issue, hint).
+
+Checks of lines take lines (file, line_no, line) or documents (file, text). Documents are looked at one by one, which
+sorts and shuffles nothing; lines of a file meet in a window."""
 
 from __future__ import annotations
 
@@ -8,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievework.functions.text import NUMERALS, numeral, token_runs
+from sievework.functions.text import NUMERALS, let, numeral, token_runs
 from sievework.sources.corpus import lines
-from sievework.sources.markdown import cells_of, fences
+from sievework.sources.markdown import cells_of, fenced, fences, marked, tables
 
 
 def issue(df: DataFrame, file: str, level: str, what, hint="") -> DataFrame:
@@ -38,32 +41,54 @@ def shape(docs: DataFrame, file: str, text: str, most_lines: int = 500, share: f
 
 def headings(ls: DataFrame, file: str) -> DataFrame:
     """Doubled marks and indented headings outside fences."""
-    df = fences(ls, [file]).where(~F.col("in_fence"))
+    df = fenced(ls, file).where(~F.col("in_fence"))
     doubled, indented = F.col("line").rlike(r"^#+ +#+ "), F.col("line").rlike(r"^ {1,3}#{1,6} ")
     return issue(df.where(doubled | indented), file, "warn", F.concat(F.when(doubled, "doubled heading mark").otherwise("indented heading"), F.lit(", line "), F.col("line_no")))
 
 
 def duplicate_headings(ls: DataFrame, file: str) -> DataFrame:
-    df = fences(ls, [file]).where(~F.col("in_fence") & F.col("line").rlike("^#{1,6} ")).withColumn("h", F.trim(F.regexp_replace("line", "^#+", "")))
+    name = lambda x: F.trim(F.regexp_replace(x, "^#+", ""))
+    if "line" not in ls.columns:
+        heads = F.transform(F.filter(marked(F.col("text")), lambda x: ~x.in_fence & x.line.rlike("^#{1,6} ")), lambda x: name(x.line))
+        more = let(F.array_sort(heads), lambda h: F.array_distinct(F.filter(h, lambda x, i: F.coalesce(F.get(h, i - 1) == x, F.lit(False)))))
+        return issue(ls.select(file, F.explode(more).alias("h")), file, "warn", F.concat(F.lit("heading repeated: "), F.col("h")))
+    df = fenced(ls, file).where(~F.col("in_fence") & F.col("line").rlike("^#{1,6} ")).withColumn("h", name(F.col("line")))
     return issue(df.groupBy(file, "h").agg(F.count("*").alias("n")).where("n > 1"), file, "warn", F.concat(F.lit("heading repeated: "), F.col("h")))
 
 
 def heading_numbers(ls: DataFrame, file: str) -> DataFrame:
     """Ordinals that repeat among the headings of one level."""
-    df = fences(ls, [file]).where(~F.col("in_fence") & F.col("line").rlike(f"^#+ +[{NUMERALS}]+、"))
-    df = df.select(file, F.length(F.regexp_extract("line", "^(#+)", 1)).alias("depth"), numeral(F.regexp_extract("line", f"^#+ +([{NUMERALS}]+)、", 1)).alias("no"))
-    return issue(df.groupBy(file, "depth", "no").agg(F.count("*").alias("n")).where("n > 1"), file, "error", F.concat(F.lit("number repeated: "), F.col("no")))
+    pattern = f"^#+ +[{NUMERALS}]+、"
+    depth = lambda x: F.length(F.regexp_extract(x, "^(#+)", 1)).alias("depth")
+    no = lambda x: numeral(F.regexp_extract(x, f"^#+ +([{NUMERALS}]+)、", 1)).alias("no")
+    if "line" not in ls.columns:
+        heads = F.transform(F.filter(marked(F.col("text")), lambda x: ~x.in_fence & x.line.rlike(pattern)), lambda x: F.struct(depth(x.line), no(x.line)))
+        more = let(F.array_sort(heads), lambda h: F.array_distinct(F.filter(h, lambda x, i: (i > 0) & F.get(h, i - 1).eqNullSafe(x))))
+        df = ls.select(file, F.explode(more.no).alias("no"))
+    else:
+        df = fences(ls, [file]).where(~F.col("in_fence") & F.col("line").rlike(pattern)).select(file, depth(F.col("line")), no(F.col("line")))
+        df = df.groupBy(file, "depth", "no").agg(F.count("*").alias("n")).where("n > 1")
+    return issue(df, file, "error", F.concat(F.lit("number repeated: "), F.col("no")))
 
 
 def table_columns(ls: DataFrame, file: str) -> DataFrame:
     """Rows whose cells differ in number from their table's first row; tables are runs of neighbouring lines with bars."""
-    df = fences(ls, [file]).where(~F.col("in_fence") & F.col("line").rlike(r"^\s*\|"))
+    if "line" not in ls.columns:
+        rows = F.transform("rows", lambda x: F.struct(x.line_no.alias("line_no"), F.size(cells_of(x.line)).alias("cells")))
+        odd = let(rows, lambda r: F.transform(F.filter(r, lambda y: y.cells != F.get(r, F.lit(0)).cells), lambda y: F.struct(y.line_no.alias("line_no"), y.cells.alias("cells"), F.get(r, F.lit(0)).cells.alias("want"))))
+        df = tables(ls, file, marked(F.col("text"))).select(file, F.explode(odd).alias("r")).select(file, "r.*")
+        return issue(df, file, "error", F.concat(F.lit("line "), F.col("line_no"), F.lit(": "), F.col("cells"), F.lit(" cells, not "), F.col("want")))
+    df = fenced(ls, file).where(~F.col("in_fence") & F.col("line").rlike(r"^\s*\|"))
     df = df.withColumn("island", F.col("line_no") - F.row_number().over(W.partitionBy(file).orderBy("line_no"))).withColumn("cells", F.size(cells_of(F.col("line"))))
     df = df.withColumn("want", F.first("cells").over(W.partitionBy(file, "island").orderBy("line_no")))
     return issue(df.where("cells <> want"), file, "error", F.concat(F.lit("line "), F.col("line_no"), F.lit(": "), F.col("cells"), F.lit(" cells, not "), F.col("want")))
 
 
 def lone_table_rows(ls: DataFrame, file: str) -> DataFrame:
+    if "line" not in ls.columns:
+        has = lambda x: F.coalesce(x.line.rlike(r"^\s*\|"), F.lit(False))
+        alone = let(marked(F.col("text")), lambda a: F.filter(a, lambda x, i: has(x) & ~x.in_fence & ~has(F.get(a, i - 1)) & ~has(F.get(a, i + 1))))
+        return issue(ls.select(file, F.explode(alone.line_no).alias("line_no")), file, "warn", F.concat(F.lit("row without a table, line "), F.col("line_no")))
     w = W.partitionBy(file).orderBy("line_no")
     bar = F.col("line").rlike(r"^\s*\|")
     near = F.coalesce(F.lag("line").over(w).rlike(r"^\s*\|"), F.lit(False)) | F.coalesce(F.lead("line").over(w).rlike(r"^\s*\|"), F.lit(False))
@@ -135,6 +160,7 @@ def links(docs: DataFrame, file: str, text: str) -> DataFrame:
 
 def check_documents(docs: DataFrame, file: str = "path", text: str = "text") -> DataFrame:
     """The checks that need nothing but the documents, united."""
-    ls = lines(docs, [file], text)
+    ls, docs = lines(docs, [file], text), docs.select(file, F.col(text).alias("text"))
+    text = "text"
     lk = links(docs, file, text).where(~F.col("target").rlike("^[a-z]+:"))
-    return united(size(docs, file, text), shape(docs, file, text), headings(ls, file), duplicate_headings(ls, file), heading_numbers(ls, file), table_columns(ls, file), lone_table_rows(ls, file), identical_files(docs, file, text), volatile_counts(ls, file), missing_refs(lk, docs, file, "target", file))
+    return united(size(docs, file, text), shape(docs, file, text), headings(docs, file), duplicate_headings(docs, file), heading_numbers(docs, file), table_columns(docs, file), lone_table_rows(docs, file), identical_files(docs, file, text), volatile_counts(ls, file), missing_refs(lk, docs, file, "target", file))

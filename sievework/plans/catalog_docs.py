@@ -29,7 +29,9 @@ r AS (SELECT *, {CELLS.format(c="line")} AS cells, first_value({CELLS.format(c="
 
 
 def docs(spark, d):
-    return t(spark, d, "part").select(F.concat(F.lit("n"), "p_partkey", F.lit(".md")).alias("path"), F.expr(MD).alias("text"))
+    """Dealt out as parts, which are small, before their texts are written."""
+    part = corpus.spread(t(spark, d, "part"), "p_partkey")
+    return part.select(F.concat(F.lit("n"), "p_partkey", F.lit(".md")).alias("path"), F.expr(MD).alias("text"))
 
 
 @query(rf"""WITH {DOCS}, e AS (SELECT path, unnest(string_split(regexp_extract(text, '^---\n([\s\S]*?)\n---', 1), chr(10))) AS line FROM d)
@@ -77,7 +79,7 @@ SELECT 'warn' AS level, path AS file, concat(CASE WHEN regexp_matches(line, '^#+
 UNION ALL SELECT 'warn', path, 'heading repeated: ' || trim(regexp_replace(line, '^#+', '')), '' FROM l WHERE NOT fenced AND regexp_matches(line, '^#{{1,6}} ') GROUP BY path, trim(regexp_replace(line, '^#+', '')) HAVING count(*) > 1
 UNION ALL SELECT 'error', path, concat('number repeated: ', no), '' FROM o GROUP BY path, depth, no HAVING count(*) > 1""")
 def lint_headings(spark, d):
-    ls = corpus.lines(docs(spark, d), ["path"])
+    ls = docs(spark, d)
     return lint.united(lint.headings(ls, "path"), lint.duplicate_headings(ls, "path"), lint.heading_numbers(ls, "path"))
 
 
@@ -87,8 +89,8 @@ SELECT 'error' AS level, path AS file, concat('line ', line_no, ': ', len(cells)
 UNION ALL SELECT 'warn', path, concat('row without a table, line ', line_no), '' FROM l WHERE regexp_matches(line, '^\s*\|') AND NOT fenced AND NOT coalesce(regexp_matches(above, '^\s*\|'), false) AND NOT coalesce(regexp_matches(below, '^\s*\|'), false)
 UNION ALL SELECT 'warn', path, concat('header of another form in table ', table_no), '' FROM hd WHERE header <> ['a', 'b']""")
 def lint_tables(spark, d):
-    ls = corpus.lines(docs(spark, d), ["path"])
-    return lint.united(lint.table_columns(ls, "path"), lint.lone_table_rows(ls, "path"), lint_more.antipattern_tables(docs(spark, d), [["a", "b"]]))
+    ls = docs(spark, d)
+    return lint.united(lint.table_columns(ls, "path"), lint.lone_table_rows(ls, "path"), lint_more.antipattern_tables(ls, [["a", "b"]]))
 
 
 @query(rf"""WITH {LINED}, ec AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?m)^#+ .*\b(EC-[0-9]+)', 1)) AS id FROM d), er AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '#(EC-[0-9]+)', 1)) AS ref FROM d),
@@ -103,7 +105,7 @@ UNION ALL SELECT 'warn', path, 'path in a block missing: ' || ref, '' FROM cp WH
 def lint_references(spark, d):
     have = t(spark, d, "supplier").select(F.concat(F.lit("a/b"), "s_suppkey", F.lit(".py")).alias("path"))
     x = docs(spark, d)
-    return lint.united(lint_more.block_refs(x), lint_more.anchor_refs(x), lint_more.numbered_refs(x), lint_more.code_block_paths(corpus.lines(x, ["path"]), have))
+    return lint.united(lint_more.block_refs(x), lint_more.anchor_refs(x), lint_more.numbered_refs(x), lint_more.code_block_paths(x, have))
 
 
 @query(rf"""WITH {LINED}, f AS (SELECT path, regexp_extract(x, '^([^:]*):', 1) AS name, trim(regexp_extract(x, '^[^:]*:(.*)$', 1)) AS v FROM (SELECT path, unnest(string_split(regexp_extract(text, '^---\n([\s\S]*?)\n---', 1), chr(10))) AS x FROM d) WHERE regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_-]*:')),
