@@ -81,9 +81,11 @@ def map_rules(rules: DataFrame, items: DataFrame, known: DataFrame, manual: Data
     m = manual.select(F.col("rule_id").alias("m_rule"), F.col("item").alias("m_item"))
     df = rules.join(own, F.col("rule_id") == F.col("own"), "left").join(k, F.col("rule_id") == F.col("k_rule"), "left").join(m, F.col("rule_id") == F.col("m_rule"), "left")
     left = df.where("own is null and k_item is null and m_rule is null").select(*rules.columns)
-    best = best_two(map_candidates(left, items), "rule_id", "item", "score")
-    best = best.select(F.col("rule_id").alias("b_rule"), F.col("item").alias("b_item"), "score", "margin")
-    df = df.join(best, F.col("rule_id") == F.col("b_rule"), "left")
+    said = F.struct(*[c for c in ("title", "scene") if c in rules.columns])  # all that a score knows of a rule, so equal ones are scored once
+    one = left.select(said.alias("rule_id")).distinct().select("rule_id", "rule_id.*")
+    best = best_two(map_candidates(one, items), "rule_id", "item", "score")
+    best = best.select(F.col("rule_id").alias("b_said"), F.col("item").alias("b_item"), "score", "margin")
+    df = df.withColumn("_said", said).join(best, F.col("_said") == F.col("b_said"), "left")
     how = (
         F.when(F.col("own").isNotNull(), "id").when(F.col("k_item").isNotNull(), "known").when(F.col("m_item").isNotNull(), "manual").when(F.col("m_rule").isNotNull(), "manual_none")
         .when(F.col("score") >= ACCEPT, F.when(F.col("margin") < MARGIN, "name_low_margin").otherwise("name")).when(F.col("score") >= REVIEW, "review").otherwise("open")

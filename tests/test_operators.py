@@ -232,3 +232,32 @@ def test_keywords_fold_a_text_once(spark):
     scores = routing.keyword_scores(d, "k", "text", {"a": ["the"], "b": ["und", "der"]})
     assert sorted(tuple(r) for r in scores.collect()) == [(1, "a", 3), (1, "b", 3), (3, "b", 3)]
     assert scores._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_equal_titles_are_scored_once(spark, monkeypatch):
+    seen = []
+    score = registry.map_candidates
+    monkeypatch.setattr(registry, "map_candidates", lambda rs, its: seen.append(rs.count()) or score(rs, its))
+    rs = spark.createDataFrame([(f"r{i}", ("red ring", "blue bolt", None)[i % 3]) for i in range(30)], "rule_id string, title string")
+    items = spark.createDataFrame([("i1", "red ring"), ("i2", "blue")], "id string, name string")
+    none = spark.createDataFrame([], "rule_id string, item string")
+    got = registry.map_rules(rs, items, none, none).collect()
+    assert seen == [3] and sorted({(int(r.rule_id[1:]) % 3, r.item, r.how) for r in got}) == [(0, "i1", "name"), (1, "i2", "name"), (2, None, "open")] and len(got) == 30
+
+
+def test_pairs_are_counted_in_one_place(spark):
+    """Against every pair compared; after the features are dealt out by id nothing but the right side moves."""
+    from sievework.operators import similar
+
+    text = lambda n: " ".join(f"w{(n * k) % 23}" for k in range(1, 9 + n % 5))
+    left = spark.createDataFrame([(i, text(i)) for i in range(40)], "id int, text string")
+    right = spark.createDataFrame([(i, text(i * 3)) for i in range(15)], "id int, text string")
+    feats = [similar.features(x, "id", "text") for x in (left, right)]
+    found = similar.similar_pairs(*feats)
+    sets = [{r.id: set(r.text.split()) for r in x.collect()} for x in (left, right)]
+    want = {(a, b): len(x & y) for a, x in sets[0].items() for b, y in sets[1].items() if len(x & y) >= 5}
+    assert {(r.a, r.b): r.shared for r in found.collect()} == want and want
+    found = found.drop("x")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "Window" not in plan
