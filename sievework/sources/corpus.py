@@ -77,10 +77,10 @@ def lines(files: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return files.select(*key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).select(*key, (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by a key to four tasks a core: a small file of many rows comes as few tasks, however much is made of
-    each row."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+def spread(df: DataFrame, key: str, tasks: int = 4) -> DataFrame:
+    """Rows dealt out by a key to so many tasks a core: a small file of many rows comes as few tasks, however much is made
+    of each row."""
+    return df.repartition(tasks * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def systematic_sample(files: DataFrame, order: str, most: int = SAMPLE_FILES) -> DataFrame:
